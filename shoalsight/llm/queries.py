@@ -9,7 +9,10 @@ from .common import documents
 from .decontaminate import contaminated
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .quality_model import quality_scores
 from .quality_rules import STOP_WORDS, quality_rules
+from .secrets import scan_secrets
+from .token_counts import token_counts
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +20,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """``tokenizer``: path of the vocabulary file; by default that of the installed public one."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts(documents(spark, sf_dir), tokenizer, limit=512)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -30,11 +42,31 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "benchmark"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = scan_secrets(documents(spark, sf_dir))
+    kind = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return spans.select(
+        "doc_id",
+        *[F.size(kind(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(text(F.filter("spans", lambda s: s["kind"] != "entropy")), 256).alias("base_sha256"),
+        text(F.col("spans")).alias("spans"),
+        F.size(kind("entropy")).cast("long").alias("n_entropy"),
+    )
+
+
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op4_line_dedup": op4_line_dedup,
+    "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_mix_sources": op7_mix_sources,
     "op8_decontaminate": op8_decontaminate,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_quality_model": op10_quality_model,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
