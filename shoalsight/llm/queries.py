@@ -12,9 +12,27 @@ from .mixing import mix
 from .quality_model import quality_scores
 from .quality_rules import STOP_WORDS, quality_rules
 from .secrets import scan_secrets
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
 
+def _removed(spans: str = "spans"):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(documents(spark, sf_dir), length=100)
+    return out.select(
+        "doc_id", F.col("size").alias("n_bytes"), _removed().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(documents(spark, sf_dir), length=35)
+    return out.select("doc_id", F.col("size").alias("n_words"), _removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), min_docs=3, min_chars=20)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -60,6 +78,8 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
