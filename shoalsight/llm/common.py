@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.materialize import new_path, written
+
+__all__ = ["ascii_lower", "documents", "let", "new_path", "row_key", "text_or_empty", "words", "written"]
+
 #: The separators of words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -40,27 +40,5 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_th")]
 
 
-def same_key(left: DataFrame, right: DataFrame) -> Column:
-    return left["_id"].eqNullSafe(right["_id"]) & (left["_th"] == right["_th"])
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where the setting is missing and the master local."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = os.environ.setdefault("SHOALSIGHT_LOCAL_SHARED", tempfile.mkdtemp(prefix="shoalsight-"))
-    return found
-
-
-def written(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/shoalsight/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

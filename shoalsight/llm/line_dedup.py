@@ -16,12 +16,10 @@ Other columns pass through.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, row_key, shared_folder, text_or_empty, written
+from .common import SPACES, ascii_lower, new_path, row_key, text_or_empty, written
 
 RUN = "h1 long, h2 long, n_docs long, max_doc long, fresh boolean"
 
@@ -40,14 +38,13 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, fanout: int = 4, min_chars: int = 20):
         self.spark, self.fanout, self.min_chars = spark, fanout, min_chars
-        self.root = f"{shared_folder(spark).rstrip('/')}/shoalsight/lines-{uuid.uuid4().hex}"
         self.levels: list[list[str]] = [[]]
 
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(RUN).parquet(*paths)
 
     def _put(self, run: DataFrame, level: int) -> None:
-        path = f"{self.root}/{level}-{uuid.uuid4().hex}"
+        path = new_path(self.spark, f"lines-{level}")
         run.select("h1", "h2", "n_docs", "max_doc", "fresh").sortWithinPartitions("h1", "h2").write.parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .decontaminate import contaminated
+from .jaccard_join import Join, jaccard_components
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .quality_model import quality_scores
@@ -17,6 +18,10 @@ from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir), Join(k=3, percent=90))
+
+
 def _removed(spans: str = "spans"):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
@@ -78,6 +83,7 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
