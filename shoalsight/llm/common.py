@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.materialize import new_path, written
 
-__all__ = ["ascii_lower", "documents", "let", "new_path", "row_key", "text_or_empty", "words", "written"]
+__all__ = ["LOWER", "SPACES", "UPPER", "ascii_lower", "documents", "let", "new_path", "row_key", "text_or_empty", "words", "written"]
 
 #: The separators of words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"

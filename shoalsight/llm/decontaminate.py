@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, row_key, text_or_empty, words, written
+from .common import LOWER, UPPER, let, row_key, words, written
 
 # The masks. Any single substitution in nine words, and most pairs in thirteen, leave one seed whole.
 MASKS = ("11101011", "1101100101", "111111")
@@ -68,9 +68,13 @@ def contaminated(
     found = hits.join(postings, "h").select("_id", "_th", "ik", (F.col("pos") - F.col("ipos")).alias("diag")).distinct()
     found = written(found, "seed-hits").join(tests, "ik").select(F.col("_id").alias("_fid"), F.col("_th").alias("_fth"), "ik", "item_id", "iw", "diag")
     joined = docs.join(found, docs["_id"].eqNullSafe(found["_fid"]) & (docs["_th"] == found["_fth"]))
-    rows = joined.select("doc_id", "item_id", "iw", "diag", clean_words(F.col("text")).alias("dw"))
-    # Equal words along the diagonal, as 0/1 for each word of the item; words beyond the document's ends are 0.
-    same = F.transform("iw", lambda w, j: F.when(F.get("dw", F.col("diag") + j) == w, 1).otherwise(0))
+    rows = joined.select("doc_id", "item_id", "iw", "diag", "text")
+    # Equal words along the diagonal, as 0/1 for each word of the item; words beyond the document's ends are 0. The
+    # document's words are bound once: inside the lambda they would be split again for each word.
+    same = let(
+        clean_words(F.col("text")),
+        lambda dw: F.transform("iw", lambda w, j: F.when(F.get(dw, (F.col("diag") + j).cast("int")) == w, 1).otherwise(0)),
+    )
     span = F.least(F.lit(window), F.size("iw"))
     rows = rows.select("doc_id", "item_id", F.size("iw").alias("item_words"), span.alias("span"), same.alias("same"))
     # A running sum over the last `span` words; its maximum is the best window.

@@ -120,3 +120,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     out = rows.join(taken, at, "left").select("doc_id", "sid", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     t = targets.select("sid", "source", "source_size", "target")
     return out.join(t, "sid").select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` of which the mix takes words, with size, source_size, target and taken. Rows that share a doc_id and a
+    source are told apart by their size, and rows equal in all three share one fate."""
+    got = mix(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size")
+    got = got.agg(*[F.max(c).alias(c) for c in ("source_size", "target", "taken")])
+    sized = docs.drop("size", "source_size", "target", "taken").withColumn("_size", F.size(words(F.col("text"))).cast("long"))
+    at = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("size"))
+    return sized.join(got, at).drop("_id", "_source", "_size")
