@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.materialize import new_path, written
 
-__all__ = ["LOWER", "SPACES", "UPPER", "ascii_lower", "documents", "let", "new_path", "row_key", "text_or_empty", "words", "written"]
+__all__ = ["LOWER", "SPACES", "UPPER", "ascii_lower", "documents", "keep_where", "let", "new_path", "row_key", "text_or_empty", "words", "written"]
 
 #: The separators of words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -35,6 +35,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def keep_where(df: DataFrame, flag: Column) -> DataFrame:
+    """``df.filter(flag)`` evaluated above the projections that compute its columns. A plain filter would be pushed
+    below them with their expressions copied into it, and those inside lambdas evaluated anew for each element."""
+    return df.withColumn("_above", F.rand(0)).filter(flag & (F.col("_above") >= 0)).drop("_above")
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Columns that tell rows apart even where ``doc_id`` is null or repeated; identical rows share them."""
     return [F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_th")]

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, let, row_key, words, written
+from .common import LOWER, UPPER, keep_where, let, row_key, words, written
 
 # The masks. Any single substitution in nine words, and most pairs in thirteen, leave one seed whole.
 MASKS = ("11101011", "1101100101", "111111")
@@ -84,7 +84,7 @@ def contaminated(
         lambda a, p: F.struct((a["s"] + p["x"] - p["out"]).alias("s"), F.greatest(a["m"], a["s"] + p["x"] - p["out"]).alias("m")),
         lambda a: a["m"],
     )
-    rows = rows.withColumn("matched", best).filter(F.col("matched") >= F.ceil(F.col("span") * F.lit(min_share)))
+    rows = keep_where(rows.withColumn("matched", best), F.col("matched") >= F.ceil(F.col("span") * F.lit(min_share)))
     return rows.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("item_words").cast("long").alias("item_words"))
 
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, ascii_lower, let, text_or_empty, words
+from .common import UPPER, ascii_lower, keep_where, let, text_or_empty, words
 
 # Frequent function words of four languages.
 STOP_WORDS = {
@@ -130,4 +130,5 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 def filter_by_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass, with the columns of ``docs``."""
-    return quality_rules(docs.withColumn("_row", F.struct(*docs.columns)), rules).filter("kept").select("_row.*")
+    judged = quality_rules(docs.withColumn("_row", F.struct(*docs.columns)), rules).select("_row", "kept")
+    return keep_where(judged, F.col("kept")).select("_row.*")
