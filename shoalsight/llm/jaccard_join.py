@@ -16,6 +16,10 @@ least doc_id stands for it. Then
    pair, each query's overlap with the other group's token union bounds its similarity; members are compared only
    where the bound allows it, and exactly, on whole sets.
 
+Before whole sets are moved for a group or a pair of groups, parity bitmaps of about one bit a token (each token flips
+one bit) are compared: two sets differ in at least as many tokens as their bitmaps in bits, so members without any
+possible partner are left behind. This bound never loses a link.
+
 Links inside one component are not enumerated, links between different texts are never lost. Nothing is capped: all
 groups stay bounded because buckets are split, not cut short. Tokens are 64-bit hashes.
 
@@ -79,13 +83,42 @@ def _signature(h: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def parity_map(h: np.ndarray) -> bytes:
+    bits = max(64, 1 << (len(h) - 1).bit_length()) if len(h) else 64
+    flips = np.bincount(((h >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _possible(spec: Join, maps: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """left x right: whether the sets may link, by their sizes and parity maps."""
+    out = np.zeros((len(left), len(right)), bool)
+    size = np.array([len(m) for m in maps])
+    for a in np.unique(size[left]):
+        for b in np.unique(size[right]):
+            if max(a, b) > 2 * min(a, b):
+                continue  # sizes differ too much to link
+            i, j = np.flatnonzero(size[left] == a), np.flatnonzero(size[right] == b)
+            words = []
+            for rows, bytes_ in ((left[i], a), (right[j], b)):
+                m = np.frombuffer(b"".join(maps[x] for x in rows), np.uint64).reshape(len(rows), -1)
+                half = m.shape[1] // 2
+                words.append(m if bytes_ == min(a, b) else m[:, :half] ^ m[:, half:])
+            total = n[left[i]][:, None] + n[right[j]][None, :]
+            most = (100 - spec.percent) * total // (100 + spec.percent)
+            for s in range(0, len(i), 64):
+                differ = np.bitwise_count(words[0][s : s + 64, None, :] ^ words[1][None, :, :]).sum(axis=2, dtype=np.int64)
+                out[np.ix_(i[s : s + 64], j)] = differ <= most[s : s + 64]
+    return out
+
+
 def _profiles(spec: Join):
-    """A row for each document: n, signatures, permuted minima; and rows (bucket, count) of its tokens."""
-    names = ["id", "n", "s1", "s2", *[f"m{r}" for r in range(spec.rounds)], "bucket", "count"]
+    """A row for each document: n, signatures, permuted minima, parity map; and rows (bucket, count) of its tokens."""
+    names = ["id", "n", "s1", "s2", *[f"m{r}" for r in range(spec.rounds)], "map", "bucket", "count"]
 
     def rows(held):
-        cols = list(zip(*held, strict=True)) if held else [[] for _ in range(4 + spec.rounds)]
-        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], pa.nulls(len(held), pa.int64()), pa.nulls(len(held), pa.int64())], names)
+        *cols, maps = list(zip(*held, strict=True)) if held else [[] for _ in range(5 + spec.rounds)]
+        none = pa.nulls(len(held), pa.int64())
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], pa.array(maps, pa.binary()), none, none], names)
 
     def run(batches):
         counts, held = np.zeros(spec.buckets, np.int64), []
@@ -95,16 +128,16 @@ def _profiles(spec: Join):
                 minima = [int(mix(h ^ _SEEDS[r]).min().astype(np.int64)) for r in range(spec.rounds)]
             else:
                 minima = [0] * spec.rounds
-            held.append((id_, len(h), *_signature(h), *minima))
+            held.append((id_, len(h), *_signature(h), *minima, parity_map(h)))
             if len(held) >= 10_000:
                 yield rows(held)
                 held = []
         yield rows(held)
         at = np.flatnonzero(counts)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none] * (4 + spec.rounds) + [pa.array(at), pa.array(counts[at])], names)
+        yield pa.RecordBatch.from_arrays([none] * (4 + spec.rounds) + [pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(counts[at])], names)
 
-    return run, ", ".join(f"{x} long" for x in names)
+    return run, ", ".join(f"{x} binary" if x == "map" else f"{x} long" for x in names)
 
 
 def _prefixes(spec: Join, counts):
@@ -211,8 +244,39 @@ def _edge_batch(src: list[int], dst: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
+def _survivors(spec: Join, keys: list[str]):
+    """Members of groups that may link with another member (with one of the other side). Rows: two keys, side, rep, s1,
+    comp, n, map; side is 0 or 1, or null where members of one group are compared with each other."""
+
+    def run(batches):
+        for table in _streamed(batches, 2):
+            side = table["side"].to_numpy(zero_copy_only=False)
+            n, maps, comp = table["n"].to_numpy(), table["map"].to_pylist(), table["comp"].to_numpy()
+            alone = table["side"].null_count > 0
+            a = np.arange(len(n)) if alone else np.flatnonzero(side == 0)
+            b = a if alone else np.flatnonzero(side == 1)
+            able = _possible(spec, maps, n, a, b) & (comp[a][:, None] != comp[b][None, :])
+            keep = np.zeros(len(n), bool)
+            keep[a] |= able.any(axis=1)
+            keep[b] |= able.any(axis=0)
+            if keep.any():
+                kept = table.select([*keys, "side", "rep", "s1", "comp"]).filter(pa.array(keep)).combine_chunks()
+                yield from kept.to_batches()
+
+    return run
+
+
+def _open(spec: Join, docs: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The surviving members of ``rows`` with their whole sets, sorted by the two keys."""
+    rows = rows.select(*keys, F.col("side").cast("int").alias("side"), "rep", "s1", "comp", "n", "map").repartition(*keys).sortWithinPartitions(*keys)
+    schema = ", ".join(f"{k} long" for k in keys) + ", side int, rep long, s1 long, comp long"
+    members = written(rows.mapInArrow(_survivors(spec, keys), schema), "survivors")
+    sets = _sets_of(spec, docs, members.select("rep", "s1").distinct())
+    return members.join(sets, ["rep", "s1"]).select(*keys, "side", "rep", "comp", "tokens").repartition(*keys).sortWithinPartitions(*keys)
+
+
 def _inside(spec: Join):
-    """Links inside groups. Rows: bucket, part, rep, tokens."""
+    """Links inside groups. Rows: bucket, part, side, rep, comp, tokens."""
 
     def run(batches):
         for table in _streamed(batches, 2):
@@ -275,16 +339,15 @@ def _round(spec: Join, docs: DataFrame, classes: DataFrame, r: int) -> DataFrame
     parts = F.ceil(F.count(F.lit(1)) / spec.group)
     buckets = (
         classes.groupBy(F.col(f"m{r}").alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("size"), parts.alias("parts"), F.min(F.struct("rep", "s1")).alias("pivot"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        .agg(F.count(F.lit(1)).alias("size"), parts.alias("parts"), F.min(F.struct("rep", "s1", "comp", "n", "map")).alias("pivot"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
         .filter("size > 1 and c0 <> c1")
         .select("bucket", "parts", "pivot")
     )
-    members = classes.withColumnRenamed(f"m{r}", "bucket").join(buckets, "bucket").select("bucket", _parts(spec, r).alias("part"), "rep", "s1")
-    pivots = buckets.filter("parts > 1").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "pivot.rep", "pivot.s1")
-    members = written(members.union(pivots).distinct(), "members")
-    sets = _sets_of(spec, docs, members.select("rep", "s1").distinct())
-    rows = members.join(sets, ["rep", "s1"]).select("bucket", "part", "rep", "tokens")
-    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_inside(spec), _EDGES)
+    wide = ["rep", "s1", "comp", "n", "map"]
+    members = classes.withColumnRenamed(f"m{r}", "bucket").join(buckets, "bucket").select("bucket", _parts(spec, r).alias("part"), *wide)
+    pivots = buckets.filter("parts > 1").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *[f"pivot.{c}" for c in wide])
+    members = members.union(pivots).dropDuplicates(["bucket", "part", "rep", "s1"]).withColumn("side", F.lit(None))
+    return _open(spec, docs, members, ["bucket", "part"]).mapInArrow(_inside(spec), _EDGES)
 
 
 def _group_pairs(spec: Join, docs: DataFrame, groups: DataFrame, counts) -> DataFrame:
@@ -326,7 +389,7 @@ def jaccard_components(docs: DataFrame, spec: Join = Join()) -> DataFrame:
     counts = docs.sparkSession.sparkContext.broadcast(often)
     rows = profiles.filter("bucket is null")
     minima = [f"m{r}" for r in range(spec.rounds)]
-    classes = rows.filter(f"n > 0 and id <> {_NULL}").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), *[F.min(m).alias(m) for m in minima])
+    classes = rows.filter(f"n > 0 and id <> {_NULL}").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), *[F.min(m).alias(m) for m in [*minima, "map"]])
     classes = written(classes, "classes")
     edges = labels = None
     for r in range(spec.rounds):
@@ -334,14 +397,12 @@ def jaccard_components(docs: DataFrame, spec: Join = Join()) -> DataFrame:
         edges = written(found if edges is None else edges.union(found), "links")
         labels = written(connected_components(edges), "labels")
     sizes = classes.groupBy("m0").agg(F.ceil(F.count(F.lit(1)) / spec.group).alias("parts"))
-    groups = _labelled(classes, labels).join(sizes, "m0").select(F.xxhash64("m0", _parts(spec, 0)).alias("g"), "rep", "s1", "n", "comp")
+    groups = _labelled(classes, labels).join(sizes, "m0").select(F.xxhash64("m0", _parts(spec, 0)).alias("g"), "rep", "s1", "n", "comp", "map")
     groups = written(groups, "groups")
     pairs = written(_group_pairs(spec, base, groups, counts), "group-pairs")
     sides = pairs.select("g1", "g2", F.lit(0).alias("side"), F.col("g1").alias("g")).union(pairs.select("g1", "g2", F.lit(1), F.col("g2")))
-    members = written(sides.join(groups, "g").select("g1", "g2", "side", "rep", "s1", "comp"), "opened")
-    sets = _sets_of(spec, base, members.select("rep", "s1").distinct())
-    opened = members.join(sets, ["rep", "s1"]).select("g1", "g2", "side", "rep", "comp", "tokens")
-    more = opened.repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(_between(spec), _EDGES)
+    opened = _open(spec, base, sides.join(groups, "g"), ["g1", "g2"])
+    more = opened.mapInArrow(_between(spec), _EDGES)
     labels = written(connected_components(edges.union(more)), "labels")
     named = _labelled(classes, labels).select("s1", "s2", "n", "comp")
     named = named.groupBy("s1", "s2", "n").agg(F.min("comp").alias("comp"))
