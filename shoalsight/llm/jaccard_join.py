@@ -49,7 +49,7 @@ _SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint6
 class Join:
     k: int = 5
     percent: int = 80
-    group: int = 32
+    group: int = 256
     rounds: int = 2
     buckets: int = 1 << 18
 
@@ -219,17 +219,25 @@ def _streamed(batches, n_keys: int):
         yield pa.Table.from_batches(kept)
 
 
-def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections between two short lists of sets: the token x member matrices multiplied."""
-    union = np.unique(np.concatenate(right))
-    m = np.zeros((len(left), len(right)))
-    other = np.zeros((len(union), len(right)), np.float32)
-    for j, x in enumerate(right):
-        other[np.searchsorted(union, x), j] = 1
-    for i, x in enumerate(left):
-        at = np.searchsorted(union, x)
-        at[at == len(union)] = 0
-        m[i] = other[at[union[at] == x]].sum(axis=0)
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], cells: int = 32_000_000) -> np.ndarray:
+    """Sizes of all intersections between two lists of sets: the token x member matrices multiplied, by blocks of
+    members that keep the matrix under ``cells`` entries."""
+    m = np.zeros((len(left), len(right)), np.int64)
+    s = 0
+    while s < len(right):
+        e, tokens = s, 0
+        while e < len(right) and (e == s or (tokens + len(right[e])) * (e + 1 - s) <= cells):
+            tokens += len(right[e])
+            e += 1
+        union = np.unique(np.concatenate(right[s:e]))
+        other = np.zeros((len(union), e - s), np.uint8)
+        for j, x in enumerate(right[s:e]):
+            other[np.searchsorted(union, x), j] = 1
+        for i, x in enumerate(left):
+            at = np.searchsorted(union, x)
+            at[at == len(union)] = 0
+            m[i, s:e] = other[at[union[at] == x]].sum(axis=0, dtype=np.int64)
+        s = e
     return m
 
 
