@@ -33,7 +33,7 @@ def bloom_of(keys: DataFrame, column: str, n: int, bits_per_key: int = 16, max_b
         bits *= 2
     at = F.explode(F.array(*[F.shiftrightunsigned(column, s).bitwiseAND(F.lit(bits - 1)) for s in (0, 18, 36)])).alias("at")
     words = keys.select(at).groupBy(F.shiftrightunsigned("at", 6).alias("w"))
-    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
-    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return Bloom(out)

@@ -391,9 +391,9 @@ def jaccard_components(docs: DataFrame, spec: Join = Join()) -> DataFrame:
     base = base.withColumn("h", F.xxhash64("id"))
     run, schema = _profiles(spec)
     profiles = written(base.mapInArrow(run, schema), "profiles")
-    table = profiles.filter("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).toPandas()
+    table = profiles.filter("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()
     often = np.zeros(spec.buckets, np.int64)
-    often[table["bucket"].to_numpy(np.int64)] = table["count"].to_numpy(np.int64)
+    often[table["bucket"].to_numpy()] = table["count"].to_numpy()
     counts = docs.sparkSession.sparkContext.broadcast(often)
     rows = profiles.filter("bucket is null")
     minima = [f"m{r}" for r in range(spec.rounds)]

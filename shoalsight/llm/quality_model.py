@@ -155,8 +155,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = 20_000,
     stats = written(features(docs), "statistics")
     known = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    train = stats.dropDuplicates(["doc_id"]).join(sample, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "quality").toPandas()
-    model = fit(np.array(train["x"].tolist(), float).reshape(len(train), len(NAMES)), train["quality"].to_numpy(float))
+    train = stats.dropDuplicates(["doc_id"]).join(sample, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "quality").toArrow()
+    x = np.asarray(train["x"].combine_chunks().flatten(), float).reshape(len(train), len(NAMES))
+    model = fit(x, train["quality"].to_numpy().astype(float))
 
     def arrow(batches):
         for batch in batches:
