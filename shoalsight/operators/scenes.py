@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scene as rules
 from ..functions.concepts import Concept
 from ..functions.vectors import clip01, dot, set_similarity
+from ..plans.materialize import written
 from ..scene_config import SceneConfig
 from .timeline import running_count, sessionize, support, with_neighbours
 
@@ -36,6 +37,7 @@ def transitions(features: DataFrame, config: SceneConfig, concepts: dict[str, tu
     )
     timed = sessionize(timed, ["album"], "ts", "path", c.session_gap_seconds, c.maximum_hard_time_gap_seconds, alike=close, value=me)
     timed = running_count(timed, keys, "ts", "path", F.lit(True), "pos").withColumn("pos", F.col("pos") - 1)
+    timed = written(timed, "timed-photos")  # sessions are needed several times below
     rows = timed.select(*keys, "pos", "path", "ts", "f")
     rows = with_neighbours(rows, keys, "ts", "path", me, before=1, after=2)
     judged = rows.filter("_after_1 is not null")
@@ -50,6 +52,7 @@ def transitions(features: DataFrame, config: SceneConfig, concepts: dict[str, tu
         ((F.col("_after_1.shot.mode") == "detail") & (F.col("skip_on") >= c.strong_pair_similarity)).alias("_right_detail"),
         ((me["shot"]["mode"] == "detail") & (F.col("skip_back") >= c.strong_pair_similarity)).alias("_left_detail"),
     )
+    judged = written(judged, "transitions")
     window = c.boundary_context_window
     near = with_neighbours(judged, keys, "ts", "path", F.col("score"), before=max(1, window - 1), after=window)
     lefts = F.filter(F.array(*[F.col(f"_before_{k}") for k in range(1, window)]).cast("array<double>"), lambda x: x.isNotNull())
@@ -565,7 +568,13 @@ def scene_groups(features: DataFrame, config: SceneConfig | None = None, concept
     before = Window.partitionBy("album", "session").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     hard = F.when((F.col("reliability") == "hard") & F.col("accepted"), 1).otherwise(0)
     blocks = _for_blocks(judged.withColumn("block", F.coalesce(F.sum(hard).over(before), F.lit(0))))
-    timed = blocks.groupBy("album", "session", "block").applyInPandas(lambda rows: group_block(rows, config), OUT)
+    # A photo alone in its block is a group of its own; only longer blocks need Python.
+    blocks = written(blocks.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("album", "session", "block"))), "scene-blocks")
+    alone = blocks.filter("_n = 1").select(
+        "album", "session", "pos", "path", "ts", F.col("pos").alias("segment"), F.col("pos").alias("grp"), F.col("path").alias("medoid"), F.col("path").alias("representative"), F.lit(1.0).alias("cohesion")
+    )
+    longer = blocks.filter("_n > 1").drop("_n")
+    timed = alone.unionByName(longer.groupBy("album", "session", "block").applyInPandas(lambda rows: group_block(rows, config), OUT))
     untimed = rules.with_profiles(features.filter("ts is null"), config, concepts)
     empty = {"session": F.lit(None).cast("long"), "pos": F.lit(0).cast("long"), "change": F.lit(None).cast("double"), "reliability": F.lit(None).cast("string"), "accepted": F.lit(None).cast("boolean"), "block": F.lit(0).cast("long")}
     loose = _for_blocks(untimed.withColumns(empty)).groupBy("album").applyInPandas(lambda rows: group_block(rows, config, timed=False), OUT)
