@@ -24,9 +24,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/shoalsight/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while a table is written: long texts in batches of the default 10,000 need much memory.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def written(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    usual = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(usual) if int(usual) > 0 else BATCH_ROWS, BATCH_ROWS)))
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_BATCH, usual)
     return spark.read.schema(df.schema).parquet(path)
