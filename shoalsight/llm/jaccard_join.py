@@ -129,7 +129,7 @@ def _profiles(spec: Join):
             else:
                 minima = [0] * spec.rounds
             held.append((id_, len(h), *_signature(h), *minima, parity_map(h)))
-            if len(held) >= 10_000:
+            if len(held) >= 2000:
                 yield rows(held)
                 held = []
         yield rows(held)
@@ -156,7 +156,7 @@ def _prefixes(spec: Join, counts):
             seen.add(sig)
             order = np.lexsort((h, often[(h & np.uint64(spec.buckets - 1)).astype(np.int64)]))
             s.append(sig), n.append(len(h)), tokens.append(h[order[: len(h) - spec.need(len(h)) + 1]].tobytes())
-            if len(s) >= 5000:
+            if len(s) >= 1000:
                 yield flush()
                 s, n, tokens = [], [], []
         if s:
@@ -188,7 +188,7 @@ def _whole_sets(spec: Join, wanted):
         i, s, data = [], [], []
         for id_, h in _texts(batches, spec.k, wanted.value):
             i.append(id_), s.append(_signature(h)[0]), data.append(h.tobytes())
-            if len(i) >= 2000:
+            if len(i) >= 500:
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(s, pa.int64()), pa.array(data, pa.binary())], ["rep", "s1", "tokens"])
                 i, s, data = [], [], []
         if i:

@@ -34,7 +34,7 @@ from .common import written
 from .rolling import Rolling, anchors, byte_values, mix, word_bounds, word_values
 
 _NULL = -(2**63)
-_FLUSH = 400_000
+_FLUSH = 250_000
 
 
 @dataclass(frozen=True)

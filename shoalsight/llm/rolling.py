@@ -20,7 +20,7 @@ _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256,
 _pows = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: Values handled at a time; a longer sequence is cut into overlapping parts.
-PART = 1 << 20
+PART = 1 << 18
 _LOW = np.uint64((1 << 24) - 1)
 
 SPACE = np.zeros(256, bool)
