@@ -65,8 +65,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "benchmark"))
 
 
-def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = scan_secrets(documents(spark, sf_dir))
+def secret_digest(spans: DataFrame) -> DataFrame:
     kind = lambda k: F.filter("spans", lambda s: s["kind"] == k)
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return spans.select(
@@ -78,6 +77,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(scan_secrets(documents(spark, sf_dir)))
+
+
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
