@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import faces
@@ -50,12 +50,10 @@ def cancel(spark: SparkSession, tag: str) -> list[str]:
 def memberships(grouped: DataFrame) -> DataFrame:
     """Photos with the number of their group (by time, untimed last, then path) and of their segment; null if ungrouped."""
     heads = grouped.filter("grp is not null").groupBy("album", "session", "grp").agg(F.min_by(F.struct("ts", "path"), F.struct(F.col("ts").isNull(), "ts", "path")).alias("h"))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("album").orderBy(F.col("h.ts").asc_nulls_last(), "h.path")
-    heads = heads.select("album", "session", "grp", F.row_number().over(order).alias("group_index"))
-    same = [grouped["album"] == heads["album"], grouped["session"].eqNullSafe(heads["session"]), grouped["grp"] == heads["grp"]]
-    return grouped.join(heads, same, "left").select(*[grouped[c] for c in grouped.columns], "group_index")
+    heads = heads.select(F.col("album").alias("_a"), F.col("session").alias("_s"), F.col("grp").alias("_g"), F.row_number().over(order).alias("group_index"))
+    same = (F.col("album") == F.col("_a")) & F.col("session").eqNullSafe(F.col("_s")) & (F.col("grp") == F.col("_g"))
+    return grouped.join(heads, same, "left").drop("_a", "_s", "_g")
 
 
 def session_sections(grouped: DataFrame, judged: DataFrame) -> DataFrame:
