@@ -59,8 +59,14 @@ def elapsed(seconds: Column) -> Column:
     return F.when(h > 0, F.format_string("%02d:%02d:%02d", h, m, r)).otherwise(F.format_string("%02d:%02d", m, r))
 
 
+def epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def minute_text(ts: Column) -> Column:
-    return F.when(ts.isNull(), F.lit("Unknown time")).otherwise(F.date_format(F.timestamp_seconds(ts), "yyyy-MM-dd HH:mm 'UTC'"))
+    """UTC whatever the session's time zone."""
+    wall = F.timestamp_add("SECOND", F.floor(ts).cast("long"), epoch())
+    return F.when(ts.isNull(), F.lit("Unknown time")).otherwise(F.date_format(wall, "yyyy-MM-dd HH:mm 'UTC'"))
 
 
 def time_range_text(start: Column, end: Column) -> Column:
@@ -76,7 +82,7 @@ def exif_seconds(text: Column) -> Column:
     """UTC seconds of "yyyy:MM:dd HH:mm:ss" or "yyyy-MM-dd HH:mm:ss"; null for anything else."""
     t = strip(text)
     stamp = F.coalesce(F.try_to_timestamp(t, F.lit("yyyy:MM:dd HH:mm:ss")), F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm:ss")))
-    return F.unix_micros(stamp) / 1e6
+    return F.timestamp_diff("MICROSECOND", epoch(), stamp.cast("timestamp_ntz")) / 1e6
 
 
 def day_number(ts: Column) -> Column:

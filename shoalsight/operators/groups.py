@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import nearest_rank
+from .ranks import numbered
 
 
 def best_of(df: DataFrame, keys: list[str], order: list[Column], name: str = "is_best") -> DataFrame:
@@ -51,23 +52,16 @@ def mean_vector(rows: DataFrame, keys: list[str], vec: str, name: str = "mean")
 
 
 def distribution(rows: DataFrame, value: str, flags: list[str] = ()) -> DataFrame:
-    """Minimum, median, half-even nearest-rank p75, p90 and p95, maximum, and counts of flags.
-
-    Ranks come from the value counts in order, so nothing is collected as a list.
-    """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    running = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("c").over(running)).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    at = lambda f: F.min(F.when(F.col("upto") > F.bround((F.col("n") - 1) * F.lit(f), 0), F.col(value)))
-    low, high = at_rank(value, F.floor((F.col("n") - 1) / 2)), at_rank(value, F.floor(F.col("n") / 2))
-    out = ranked.agg(F.min(value).alias("minimum"), ((low + high) / 2).alias("median"), at(0.75).alias("p75"), at(0.90).alias("p90"), at(0.95).alias("p95"), F.max(value).alias("maximum"))
+    """Minimum, median, half-even nearest-rank p75, p90 and p95, maximum, and counts of flags, from distributed ranks."""
+    known = rows.filter(F.col(value).isNotNull()).select(F.col(value).alias("v"))
+    ranked = numbered(known, [F.col("v").asc()], "rank").crossJoin(F.broadcast(known.agg(F.count(F.lit(1)).alias("n"))))
+    at = lambda r: F.max(F.when(F.col("rank") == r + 1, F.col("v")))
+    share = lambda f: at(F.bround((F.col("n") - 1) * F.lit(f), 0))
+    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2
+    out = ranked.agg(F.min("v").alias("minimum"), middle.alias("median"), share(0.75).alias("p75"), share(0.90).alias("p90"), share(0.95).alias("p95"), F.max("v").alias("maximum"))
     return out.crossJoin(rows.agg(*[F.count_if(F.col(f)).alias(f) for f in flags])) if flags else out
 
 
-def at_rank(value: str, rank: Column) -> Column:
-    return F.min(F.when(F.col("upto") > rank, F.col(value)))
-
-
 def small_distribution(values: Column) -> dict[str, Column]:
     """The same from one array, for groups known to be small."""
     v = F.sort_array(values)

@@ -6,23 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import extension, file_name, stem
-
-
-def global_rank(df: DataFrame, order: list[Column], first_key: Column, name: str = "n") -> DataFrame:
-    """Adds the 1-based rank over all rows without a one-task sort: ranks inside the values of ``first_key`` (the leading
-    sort column, of many values), shifted by the totals before them."""
-    keyed = df.withColumn("_k", first_key)
-    totals = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_k", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
-    inside = F.row_number().over(Window.partitionBy("_k").orderBy(*order))
-    return keyed.withColumn("_i", inside).join(totals, "_k").withColumn(name, F.col("_b") + F.col("_i")).drop("_k", "_i", "_b")
+from .ranks import numbered
 
 
 def page(items: DataFrame, group: str, order: list[Column], number: int, size: int = 48) -> DataFrame:
     """Items of one page (from 0) across groups, with the group's title; a part of a group says which part it is.
     ``items`` has group (its rank), title and the columns of ``order``."""
-    ranked = global_rank(items, order, F.col(group), "n")
+    ranked = numbered(items, [F.col(group).asc(), *order], "n")
     inside = Window.partitionBy(group)
     ranked = ranked.withColumns({"_first": F.min("n").over(inside), "_count": F.count(F.lit(1)).over(inside)})
     a, b = number * size + 1, (number + 1) * size

@@ -13,7 +13,8 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a folder of our own only where the setting is missing and the master local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = os.environ.get("SHOALSIGHT_LOCAL_SHARED") or tempfile.mkdtemp(prefix="shoalsight-")
         os.environ["SHOALSIGHT_LOCAL_SHARED"] = found
