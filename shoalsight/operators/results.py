@@ -70,7 +70,7 @@ def progress(mode: str, phase: str, done: int, total: int) -> int:
     """Percent of a scan; phases of a mode share 0..100."""
     # Fixed values.
     scenes = dict(loading_visual_features=(0, 44), analyzing_actions_and_scenes=(44, 58), detecting_scene_changes=(58, 70), building_scene_groups=(70, 86), checking_group_coherence=(86, 92), choosing_previews=(92, 97), finalizing_results=(97, 100))
-    shares = {"vibe": scenes, "duplicates": {"indexing": (0, 50), "matching": (50, 100)}}.get(mode, {})
+    shares = {"scenes": scenes, "duplicates": {"indexing": (0, 50), "matching": (50, 100)}}.get(mode, {})
     a, b = shares.get(phase, (0, 100))
     part = min(max(done, 0), total) / total if total else 1.0
     return a + int(part * max(b - a, 1))

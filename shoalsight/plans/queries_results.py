@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import people_label
 from ..functions.vectors import set_similarity
 from ..operators import incremental, results
-from .tables import FILES_SQL, TIMELINE_SQL, files, table, timeline
+from .tables import FILES_SQL, files, table, timeline
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:

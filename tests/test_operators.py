@@ -263,7 +263,7 @@ def test_groups_and_results(spark):
     members = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 9)], "g int, id int")
     assert {(r["g"], r["id"]) for r in groups.medoid(members, pairs, ["g"], "id", "s").collect()} == {(1, 1), (2, 9)}
     assert results.page_label(100, 1) == "Showing 49-96 of 100 photos (page 2/3)" and results.page_label(40, 0) == ""
-    assert results.progress("duplicates", "matching", 1, 2) == 75 and results.progress("vibe", "detecting_scene_changes", 1, 2) == 64 and results.progress("faces", "x", 9, 4) == 100
+    assert results.progress("duplicates", "matching", 1, 2) == 75 and results.progress("scenes", "detecting_scene_changes", 1, 2) == 64 and results.progress("faces", "x", 9, 4) == 100
     items = spark.createDataFrame([Row(path=f"/{k}/a.jpg", kind=k) for k in "xyz"])
     assert sorted(r["target"] for r in results.export_names(items).collect()) == ["a.jpg", "a_1.jpg", "a_2.jpg"]
 
