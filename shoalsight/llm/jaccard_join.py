@@ -11,8 +11,7 @@ least doc_id stands for it. Then
    buckets are cut by hash, and each part gets the bucket's least member as a pivot. Pairs inside a group are compared
    at once by a token x member matrix, which already joins most copies of one text. This is done for ``rounds``
    permutations; a bucket that is one component already is not opened again.
-3. What still shares prefix tokens is partitioned again, by the most shared token of each prefix. The token-group matrix
-   has a row (token, group) for each prefix token in the union of a group. Its self-join, with
+3. The token-group matrix has a row (token, group) for each prefix token in the union of a group. Its self-join, with
    length and position bounds, gives the group pairs that can hold a link between different components. In an opened
    pair, each query's overlap with the other group's token union bounds its similarity; members are compared only
    where the bound allows it, and exactly, on whole sets.
@@ -52,6 +51,7 @@ class Join:
     percent: int = 80
     group: int = 256
     rounds: int = 2
+    visitors: int = 2048
     buckets: int = 1 << 18
 
     def need(self, n):
@@ -300,15 +300,13 @@ def _inside(spec: Join):
 
 
 def _between(spec: Join):
-    """Links between two groups, or inside one where side is null. Rows: g1, g2, side, rep, comp, tokens."""
+    """Links between queries (side 0) and the members (side 1) of their host. Rows: host, part, side, rep, comp, tokens."""
 
     def run(batches):
         for table in _streamed(batches, 2):
             side, comp = table["side"].to_numpy(zero_copy_only=False), table["comp"].to_numpy()
             sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
-            queries = members = np.arange(len(sets))
-            if not table["side"].null_count:
-                queries, members = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            queries, members = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(queries) or not len(members):
                 continue
             union = np.unique(np.concatenate([sets[m] for m in members]))
@@ -361,23 +359,15 @@ def _round(spec: Join, docs: DataFrame, classes: DataFrame, r: int) -> DataFrame
     return _open(spec, docs, members, ["bucket", "part"]).mapInArrow(_inside(spec), _EDGES)
 
 
-def _matrix(spec: Join, docs: DataFrame, classes: DataFrame, counts) -> tuple[DataFrame, DataFrame]:
-    """Groups (g, rep, s1, n, comp, map) of the classes that share a prefix token, and the pairs (g1 <= g2) of groups that
-    may hold a link between different components.
-
-    A class belongs to the bucket of the most shared token of its prefix, so near copies meet whatever their minima."""
+def _group_pairs(spec: Join, docs: DataFrame, groups: DataFrame, counts) -> DataFrame:
+    """g1 < g2: groups that may hold a link between different components. ``groups``: g, rep, s1, n, comp, map."""
     prefixes = written(docs.mapInArrow(_prefixes(spec, counts), "s1 long, n long, tokens binary"), "prefixes")
     schema = "t long, s1 long, n long, pos long"
     shared = prefixes.mapInArrow(_opened(None), schema).groupBy("t").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).filter("a <> b").select("t")
     shared = written(shared, "shared-tokens")
     bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(shared, "t", shared.count()))
-    postings = written(prefixes.mapInArrow(_opened(bloom), schema), "postings")
-    popular = postings.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
-    best = postings.join(popular, "t").groupBy("s1").agg(F.max(F.struct("c", "t")).alias("b")).select("s1", F.col("b.t").alias("bucket"))
-    sizes = best.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / spec.group).alias("parts"))
-    groups = classes.join(best, "s1").join(sizes, "bucket").select(F.xxhash64("bucket", _parts(spec, 0)).alias("g"), "rep", "s1", "n", "comp", "map")
-    groups = written(groups, "groups")
-    matrix = postings.join(groups.select("s1", "g", "comp"), "s1").groupBy("t", "g").agg(
+    postings = prefixes.mapInArrow(_opened(bloom), schema).join(groups.select("s1", "g", "comp"), "s1")
+    matrix = postings.groupBy("t", "g").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("comp").alias("c0"), F.max("comp").alias("c1")
     )
     matrix = written(matrix, "matrix")
@@ -387,14 +377,30 @@ def _matrix(spec: Join, docs: DataFrame, classes: DataFrame, counts) -> tuple[Da
     b = matrix.select("t", *[F.col(c).alias(f"{c}_2") for c in ("g", "lo", "hi", "rest", "c0", "c1")])
     p = spec.percent
     least = F.ceil(p * (F.col("lo_1") + F.col("lo_2")) / (100 + p) - F.lit(1e-9))
-    pairs = (
+    return (
         a.join(b, "t")
-        .filter("g_1 <= g_2 and (c0_1 <> c1_1 or c0_2 <> c1_2 or c0_1 <> c0_2)")
+        .filter("g_1 < g_2 and (c0_1 <> c1_1 or c0_2 <> c1_2 or c0_1 <> c0_2)")
         .filter((100 * F.col("hi_2") >= p * F.col("lo_1")) & (100 * F.col("hi_1") >= p * F.col("lo_2")) & (F.least("rest_1", "rest_2") >= least))
         .select(F.col("g_1").alias("g1"), F.col("g_2").alias("g2"))
         .distinct()
     )
-    return groups, written(pairs, "group-pairs")
+
+
+def _hosted(spec: Join, groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Queries (side 0) and members (side 1) by host group and part. The smaller group of a pair visits the larger one, the
+    host, whose members are there once for each part of about ``visitors`` queries."""
+    sizes = written(groups.groupBy("g").agg(F.count(F.lit(1)).alias("size")), "group-sizes")
+    size = lambda n: sizes.select(F.col("g").alias(f"g{n}"), F.col("size").alias(f"size{n}"))
+    first = (F.col("size1") < F.col("size2")) | ((F.col("size1") == F.col("size2")) & (F.col("g1") < F.col("g2")))
+    routes = pairs.join(size(1), "g1").join(size(2), "g2").select(
+        F.when(first, F.col("g1")).otherwise(F.col("g2")).alias("guest"), F.when(first, F.col("g2")).otherwise(F.col("g1")).alias("host"), F.least("size1", "size2").alias("size")
+    )
+    routes = written(routes, "routes")
+    load = routes.groupBy("host").agg(F.ceil(F.sum("size") / spec.visitors).alias("parts"))
+    wide = ["rep", "s1", "comp", "n", "map"]
+    guests = routes.join(load, "host").join(groups, F.col("guest") == groups["g"]).select("host", _parts(spec, 9).alias("part"), F.lit(0).alias("side"), *wide)
+    members = groups.join(load, groups["g"] == F.col("host")).select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), *wide)
+    return guests.unionByName(members)
 
 
 def jaccard_components(docs: DataFrame, spec: Join = Join()) -> DataFrame:
@@ -416,10 +422,11 @@ def jaccard_components(docs: DataFrame, spec: Join = Join()) -> DataFrame:
         found = _round(spec, base, _labelled(classes, labels), r)
         edges = written(found if edges is None else edges.union(found), "links")
         labels = written(connected_components(edges), "labels")
-    groups, pairs = _matrix(spec, base, _labelled(classes, labels), counts)
-    same = F.col("g1") == F.col("g2")
-    sides = pairs.select("g1", "g2", F.when(~same, 0).alias("side"), F.col("g1").alias("g")).union(pairs.filter(~same).select("g1", "g2", F.lit(1), F.col("g2")))
-    opened = _open(spec, base, sides.join(groups, "g"), ["g1", "g2"])
+    sizes = classes.groupBy("m0").agg(F.ceil(F.count(F.lit(1)) / spec.group).alias("parts"))
+    groups = _labelled(classes, labels).join(sizes, "m0").select(F.xxhash64("m0", _parts(spec, 0)).alias("g"), "rep", "s1", "n", "comp", "map")
+    groups = written(groups, "groups")
+    pairs = written(_group_pairs(spec, base, groups, counts), "group-pairs")
+    opened = _open(spec, base, _hosted(spec, groups, pairs), ["host", "part"])
     more = opened.mapInArrow(_between(spec), _EDGES)
     labels = written(connected_components(edges.union(more)), "labels")
     named = _labelled(classes, labels).select("s1", "s2", "n", "comp")

@@ -33,7 +33,7 @@ def corpus(seed):
 def test_components(spark, seed, k, percent, group):
     texts = corpus(seed)
     df = brute.frame(spark, texts).repartition(6)
-    got = jaccard_components(df, Join(k=k, percent=percent, group=group, buckets=1 << 10)).collect()
+    got = jaccard_components(df, Join(k=k, percent=percent, group=group, visitors=40 // group, buckets=1 << 10)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(list(enumerate(texts)), k, percent)
 
 
