@@ -430,7 +430,8 @@ def jaccard_components(docs: DataFrame, spec: Join = Join()) -> DataFrame:
     more = opened.mapInArrow(_between(spec), _EDGES)
     labels = written(connected_components(edges.union(more)), "labels")
     named = _labelled(classes, labels).select("s1", "s2", "n", "comp")
-    named = named.groupBy("s1", "s2", "n").agg(F.min("comp").alias("comp"))
+    # Written, so that Spark sees two plain shuffles below the join and can split the copies of one text.
+    named = written(named.groupBy("s1", "s2", "n").agg(F.min("comp").alias("comp")), "names")
     out = rows.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     own = F.when(F.col("id") != _NULL, F.col("id"))
     component = F.when(F.col("id") != _NULL, F.coalesce("comp", "id"))
