@@ -16,8 +16,8 @@ sends a few rows for each task. Nothing is sampled or capped. Memory of a task i
 plus ``hot`` anchors.
 
 Equality of ranks is that of 64-bit hashes twice over (gram and context or window). Earlier means smaller doc_id, then
-start; a null doc_id is smaller than all, and rows that share a doc_id are ordered by a hash of their text. Rows equal
-in both count as one document, so all of them get the result of one.
+start; a null doc_id is smaller than all, and rows that share a doc_id are ordered by a hash of their text. Where the
+first stays, rows equal in both count as one document, so all of them get the result of one; otherwise each row counts.
 """
 
 from __future__ import annotations
@@ -64,6 +64,12 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new) - 1
 
 
+def _after_first(order: np.ndarray, first: np.ndarray, group: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Whether each row, in order, is elsewhere than the first of its group; equal rows of one document are at one place."""
+    lead = order[first][group]
+    return np.logical_or.reduce([x[order] != x[lead] for x in place])
+
+
 def _union(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merges overlapping or touching runs of each document; doc: small integers."""
     order = np.lexsort((start, doc))
@@ -125,11 +131,7 @@ class _Pending:
         order, group = _groups(g, c, i, t, p)
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         count = np.diff(np.append(first, len(group)))
-        gone = np.ones(len(order), bool)
-        if self.spec.first_stays:
-            gone[first] = False
-        else:
-            gone = (count > 1)[group]
+        gone = _after_first(order, first, group, i, t, p) if self.spec.first_stays else (count > 1)[group]
         f = order[first]
         yield _batch(a=g[f], c=c[f], id=i[f], th=t[f], p=p[f], n=n[f].astype(np.int32), q=q[f].astype(np.int32), cnt=count, data=[data[x] for x in f] if data else None)
         if gone.any():
@@ -240,8 +242,7 @@ def _rank_windows(spec: Spec):
         order, group = _groups(a, h, i, t, p)
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         if spec.first_stays:
-            gone = np.ones(len(order), bool)
-            gone[first] = False
+            gone = _after_first(order, first, group, i, t, p)
         else:
             gone = (np.add.reduceat(table["cnt"].to_numpy()[row][order], first) > 1)[group]
         if gone.any():

@@ -69,6 +69,25 @@ def test_odd_rows(spark, op):
     assert all(r["size"] == 0 and r["spans"] == [] and bytes(r["kept"]) == b"" for r in got if r["doc_id"] == 8)
 
 
+@pytest.mark.parametrize("parts,hot", [(1, 16384), (2, 16384), (1, 0), (2, 0)])
+def test_equal_rows_are_one_document(spark, parts, hot):
+    rng = random.Random(5)
+    prose = lambda: "".join(rng.choice("abcdefgh ") for _ in range(400))
+    alone, whole = prose(), prose()
+    part = prose()[:150] + whole[80:330] + prose()[:150]
+    docs = {None: alone, 1: whole, 2: part}
+    want = brute.suffix_dedup([(-1, alone), (1, whole), (2, part)], 100)
+    rows = [(k, t) for _ in range(2) for k, t in docs.items()]
+    halves = spark.sparkContext.parallelize(rows, parts)
+    df = spark.createDataFrame(halves, "doc_id long, text string")
+    assert df.rdd.getNumPartitions() == parts
+    got = remove_repeats(df, Spec("bytes", 100, 20, True, hot=hot)).collect()
+    assert len(got) == 6 and want[2][1] >= 250 and want[1][1] == want[-1][1] == 0
+    for r in got:
+        n = sum(s["end"] - s["start"] for s in r["spans"])
+        assert (r["size"], n, len(r["spans"]), brute.sha(bytes(r["kept"]))) == want[-1 if r["doc_id"] is None else r["doc_id"]]
+
+
 def test_anchor_parts_cover_all_windows():
     rng = np.random.default_rng(1)
     from shoalsight.llm import rolling
