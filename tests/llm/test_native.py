@@ -2,11 +2,12 @@
 
 import random
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import brute
 from pyspark.sql import functions as F
 
-from shoalsight.llm.decontaminate import contaminated, drop_contaminated
+from shoalsight.llm.decontaminate import MASKS, contaminated, drop_contaminated
 from shoalsight.llm.line_dedup import LineRuns, dedup_lines
 from shoalsight.llm.mixing import mix, mix_documents, schedule, source_targets
 from shoalsight.llm.quality_rules import Rule, filter_by_rules, quality_rules
@@ -174,3 +175,42 @@ def test_decontaminate(spark):
     assert contaminated(brute.frame(spark, []), tests).collect() == [] and contaminated(df, tests.limit(0)).collect() == []
     odd = spark.createDataFrame([(None, items[3], 1), (None, items[3], 1)], "doc_id long, text string, item_id int")
     assert [(r["doc_id"], r["item_id"]) for r in contaminated(odd, tests).collect()] == [(None, 3)]
+
+
+def test_masks_reach_every_accepted_overlap():
+    masks = [[k for k, c in enumerate(m) if c == "1"] for m in MASKS]
+    for n in range(8, 14):
+        for left in combinations(range(n), -(-3 * n // 4)):
+            assert any(all(s + k in left for k in m) for m in masks for s in range(n)), (n, left)
+
+
+def plain_leaks(docs, items, window=13, least=8):
+    """(doc, item) -> equal words in the best window, comparing each item word by word along each diagonal."""
+    out = {}
+    for d, text in docs:
+        dw = brute.words((text or "").lower())
+        for i, item in items:
+            iw = brute.words(item.lower())
+            span = min(window, len(iw))
+            best = 0
+            for diag in range(-len(iw), len(dw)) if len(iw) >= least else ():
+                same = [0 <= diag + j < len(dw) and dw[diag + j] == w for j, w in enumerate(iw)]
+                best = max(best, *(sum(same[j : j + span]) for j in range(len(iw) - span + 1)))
+            if span and best >= -(-3 * span // 4):
+                out[d, i] = best
+    return out
+
+
+def test_decontaminate_random_edits(spark):
+    rng = random.Random(12)
+    items = [prose(rng, n) for n in (7, 8, 8, 9, 10, 11, 12, 13, 14, 17, 40)]
+    docs = [prose(rng, 60)]
+    for item in items * 6:
+        w = item.split()
+        for k in rng.sample(range(len(w)), rng.randint(1, max(1, len(w) * 3 // 10))):
+            w[k] = "other"
+        docs.append(" ".join([prose(rng, rng.randint(0, 9)), *w, prose(rng, rng.randint(0, 9))]))
+    want = plain_leaks(list(enumerate(docs)), list(enumerate(items)))
+    tests = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["matched"] for r in contaminated(brute.frame(spark, docs), tests).collect()}
+    assert len(want) > 40 and got == want
