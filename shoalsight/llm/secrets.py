@@ -4,8 +4,8 @@ Base kinds are assign, access and hex (below). The entropy kind looks at candida
 ``min_chars`` token characters. A candidate's class is the narrowest of hex digits, alphanumerics and base64 symbols
 that holds all of it; a window of ``window`` characters slides over it, its entropy kept by incremental counts (each
 step changes two counts, and the sum of c*log2(c) with them), and the span from the first to the last window at or
-above the class's threshold is reported. Suppressed are candidates on the allow list (UUIDs, dates and numbers, words
-without digits, file paths, repeated short periods) and those that overlap a base span.
+above the class's threshold is reported. Suppressed are candidates on the allow list (UUIDs, dates and numbers, repeated
+short periods; names and file paths whose parts all read as words) and those that overlap a base span.
 
 Offsets are code points, ends exclusive. Defined results: null and empty texts have no spans (the digest of the empty
 string, an empty span list); repeated rows are scanned one by one; columns beside doc_id and text are ignored.
@@ -31,11 +31,26 @@ CLASSES = ((re.compile(r"[0-9a-fA-F]+"), 2.9), (re.compile(r"[A-Za-z0-9]+"), 3.7
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(r"[0-9_+/=-]+"),
+    re.compile(r"(.{1,6})\1{2,}.{0,6}"),
+)
+#: Words without digits, paths and names; allowed only where their parts read as words.
+NAMES = (
     re.compile(r"[^0-9]+"),
     re.compile(r"/?([A-Za-z_-]+[0-9]{0,4}/)+[A-Za-z0-9_-]*"),
     re.compile(r"([A-Za-z]+[0-9]{0,4}[_-])+[A-Za-z]*[0-9]{0,4}"),
-    re.compile(r"(.{1,6})\1{2,}.{0,6}"),
 )
+#: A part is cut where the case changes as in camelCase. A word has a vowel, no five consonants in a row, 15 letters at most.
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+WORD = re.compile(r"(?=.*[aeiouy])(?!.*[^aeiouy]{5}).{4,15}", re.IGNORECASE)
+
+
+def allowed(run: str) -> bool:
+    if any(p.fullmatch(run) for p in ALLOWED):
+        return True
+    if not any(p.fullmatch(run) for p in NAMES):
+        return False
+    parts = PART.findall(run)
+    return sum(map(len, parts)) >= 3.5 * len(parts) and all(len(x) < 4 or WORD.fullmatch(x) for x in parts)
 
 
 def window_entropies(text: str, window: int):
@@ -61,7 +76,7 @@ def entropy_spans(text: str, taken: list[tuple[int, int]], window: int = 20) ->
     out = []
     for m in CANDIDATE.finditer(text):
         run = m.group()
-        if any(p.fullmatch(run) for p in ALLOWED) or any(s < m.end() and e > m.start() for s, e in taken):
+        if allowed(run) or any(s < m.end() and e > m.start() for s, e in taken):
             continue
         least = next(bits for kind, bits in CLASSES if kind.fullmatch(run))
         high = [i for i, bits in enumerate(window_entropies(run, window)) if bits >= least]

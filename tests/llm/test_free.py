@@ -73,6 +73,17 @@ def test_secret_scan(spark):
     assert secrets.scan_secrets(brute.frame(spark, [])).collect() == []
 
 
+def test_random_keys_are_not_names():
+    assert secrets.entropy_spans("letters qZxLkVbTnBwmWcYRyHsJdf end", []) == [(8, 30)]
+    rng = random.Random(9)
+    digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    for symbols, size in ((lower, 20), (lower.upper(), 24), (lower + lower.upper(), 20), (lower + lower.upper() + digits, 20), (lower + lower.upper() + digits + "+/", 40), (lower + lower.upper() + digits + "-_", 20)):
+        keys = ["".join(rng.choice(symbols) for _ in range(size)) for _ in range(2000)]
+        assert sum(map(secrets.allowed, keys)) <= 40, symbols
+    for name in ("get_user_by_identifier_now", "src/main/java/com/example/service", "CustomerAccountManagerFactoryBean", "MAX_CONNECTION_POOL_SIZE_LIMIT", "path/to/some/deep/file_name_here2"):
+        assert secrets.allowed(name) and secrets.entropy_spans(name, []) == []
+
+
 def test_window_entropy():
     rng = random.Random(1)
     text = "".join(rng.choice("abcd1234") for _ in range(60))
