@@ -96,14 +96,16 @@ def _possible(spec: Join, maps: list[bytes], n: np.ndarray, left: np.ndarray, ri
     size = np.array([len(m) for m in maps])
     for a in np.unique(size[left]):
         for b in np.unique(size[right]):
-            if max(a, b) > 2 * min(a, b):
-                continue  # sizes differ too much to link
+            if 200 * min(a, b) <= spec.percent * max(a, b):
+                continue  # sizes differ too much to link: the smaller set has under 2 * min / max of the larger one's tokens
             i, j = np.flatnonzero(size[left] == a), np.flatnonzero(size[right] == b)
             words = []
-            for rows, bytes_ in ((left[i], a), (right[j], b)):
+            for rows in (left[i], right[j]):
                 m = np.frombuffer(b"".join(maps[x] for x in rows), np.uint64).reshape(len(rows), -1)
-                half = m.shape[1] // 2
-                words.append(m if bytes_ == min(a, b) else m[:, :half] ^ m[:, half:])
+                while m.shape[1] > min(a, b) // 8:
+                    half = m.shape[1] // 2
+                    m = m[:, :half] ^ m[:, half:]
+                words.append(m)
             total = n[left[i]][:, None] + n[right[j]][None, :]
             most = (100 - spec.percent) * total // (100 + spec.percent)
             for s in range(0, len(i), 64):

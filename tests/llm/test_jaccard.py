@@ -37,6 +37,18 @@ def test_components(spark, seed, k, percent, group):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(list(enumerate(texts)), k, percent)
 
 
+def test_low_percent(spark):
+    rng = random.Random(6)
+    texts = []
+    for n, m in ((64, 160), (60, 140), (30, 70), (200, 300)):  # parts of texts, whose parity maps have other sizes
+        words = [f"w{rng.randrange(10**6)}" for _ in range(m)]
+        texts += [" ".join(words), " ".join(words[:n])]
+    want = brute.components(list(enumerate(texts)), 1, 40)
+    got = jaccard_components(brute.frame(spark, texts).repartition(3), Join(k=1, percent=40, group=4, buckets=1 << 10)).collect()
+    assert [want[i][1] for i in range(8)] == [0, 0, 2, 2, 4, 4, 6, 6]
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_odd_rows(spark):
     assert jaccard_components(brute.frame(spark, [])).collect() == []
     t = " ".join(f"w{i}" for i in range(60))
