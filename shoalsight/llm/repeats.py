@@ -1,6 +1,6 @@
 """Finds every window of W values (bytes or words) that repeats in a corpus, and removes what such windows cover.
 
-Ranks of growing length decide, and positions drop out as soon as a rank is unique:
+Content-chosen anchors decide, without doubling; ranks are hashes, and positions drop out as soon as one is unique:
 
 1. Anchors. Each window of W values has an anchor, its k-gram of least hash (``rolling.anchors``), so a sequence needs
    one position for about (W - k) / 2 values. The grams are counted over the corpus; a window whose anchor's gram

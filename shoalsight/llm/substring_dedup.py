@@ -1,6 +1,6 @@
 """Substring dedup: removes each word covered by a window of ``length`` words that occurs anywhere else.
 
-Level-wise (see ``repeats``): windows are candidates at full length only if the ``gram`` words at their anchor repeat,
+Content-chosen anchors in place of level-wise doubling (see ``repeats``): windows are candidates at full length only if the ``gram`` words at their anchor repeat,
 and are compared one by one only where the covering contexts of such a gram differ. Words are maximal runs of
 non-separators, compared unchanged; a null text has none. All occurrences are removed, the first included.
 """

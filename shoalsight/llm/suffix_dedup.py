@@ -1,8 +1,8 @@
 """Suffix-array dedup: removes each byte covered by a ``length``-byte string that also starts earlier.
 
-Prefix doubling over a sparse set of suffixes (see ``repeats``): Spark ranks the suffixes at anchors by their first
+Content-chosen anchors in place of prefix doubling (see ``repeats``): Spark groups the suffixes at anchors by their first
 ``gram`` bytes, then by pairs of that rank and the rank of all that the anchor's windows cover, and only where such a
-pair is not decisive by all ``length`` bytes; suffixes with a unique rank drop out at each step. Text is UTF-8, matches
+pair is not decisive by all ``length`` bytes; suffixes with a unique hash drop out at each step. Text is UTF-8, matches
 never cross documents, a null text is empty.
 """
 
