@@ -37,7 +37,9 @@ def let(value: Column, body) -> Column:
 
 def keep_where(df: DataFrame, flag: Column) -> DataFrame:
     """``df.filter(flag)`` evaluated above the projections that compute its columns. A plain filter would be pushed
-    below them with their expressions copied into it, and those inside lambdas evaluated anew for each element."""
+    below them with their expressions copied into it, and those inside lambdas evaluated anew for each element. Relies on
+    the optimiser leaving filters over nondeterministic columns where they are (a test looks at the plan); where it did
+    not, the result would be the same and slower."""
     return df.withColumn("_above", F.rand(0)).filter(flag & (F.col("_above") >= 0)).drop("_above")
 
 
