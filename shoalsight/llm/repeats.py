@@ -1,28 +1,38 @@
 """Finds every window of W values (bytes or words) that repeats in a corpus, and removes what such windows cover.
 
-Content-chosen anchors decide, without doubling; ranks are hashes, and positions drop out as soon as one is unique:
-
-1. Anchors. Each window of W values has an anchor, its k-gram of least hash (``rolling.anchors``), so a sequence needs
-   one position for about (W - k) / 2 values. The grams are counted over the corpus; a window whose anchor's gram
-   occurs once cannot repeat, and is dropped (a bitmap of bounded size carries the repeated grams to the next pass).
-2. Contexts. The neighbouring windows of one anchor are ranked together, by the pair (gram, hash of all they cover).
-   Equal pairs settle all windows of both at once.
-3. Windows. Only where one gram has several contexts are windows ranked one by one: anchors are sorted by gram with
-   what they cover, and a task streams through whole grams; grams with more than ``hot`` anchors send each window's
-   hash as a row of its own, so no task holds such a group.
+Prefix doubling over content-chosen positions. A window's anchor is its k-gram of least hash (``rolling.anchors``), which
+depends on the window's content alone, so a repeated window has equal anchors at equal offsets, and only anchors, one
+position for about (W - k) / 2 values, enter:
+
+1. Rank k. Grams are counted over the corpus; an anchor whose gram occurs once is unique and drops out (a bitmap of
+   bounded size carries the repeated grams to the next pass over the texts).
+2. Ranks at growing offsets. What an anchor's windows cover to its right has the lengths k, 2k, 4k ... W, to its left
+   k, 2k, ... W - k. The rank of 2L values from an anchor on is the rank of the pair (rank of its first L values, rank of
+   the L values that follow). At each level Spark groups the pairs of the anchors that are left, and a pair that no other
+   context shares is unique: the windows that reach that far drop out, and with its last window an anchor. Only pairs that
+   repeat at L are ranked at 2L, until all are unique or the length is past W.
+3. Contexts. Anchors with equal rank over all that their windows cover settle all these windows at once.
+4. Windows. Where the contexts of one gram differ, the windows left by step 2, repeated at the last length on both sides,
+   are ranked one by one by all W values: anchors are sorted by gram with what they cover, and a task streams through
+   whole grams; grams with more than ``hot`` anchors send each window's hash as a row of its own, so no task holds such
+   a group.
 
 In all passes, equal pairs are first collapsed where the texts are read, so a passage in a third of all documents
 sends a few rows for each task. Nothing is sampled or capped. Memory of a task is bounded by one batch of documents
-plus ``hot`` anchors.
-
-Equality of ranks is that of 64-bit hashes twice over (gram and context or window). Earlier means smaller doc_id, then
-start; a null doc_id is smaller than all, and rows that share a doc_id are ordered by a hash of their text. Where the
-first stays, rows equal in both count as one document, so all of them get the result of one; otherwise each row counts.
+plus ``hot`` anchors. Bitmaps have at most ``max_bits`` bits; where more grams than they tell apart are to be opened, the
+anchors to open are listed by a join instead (``_listed``).
+
+Ranks are named by hashes, not by places in a sorted list. Equality is that of 64-bit hashes twice over (gram and context
+or window); ranks at growing offsets are 32-bit hashes beside the gram's 64 bits, and a chance collision among them only
+leaves a window to step 4. Earlier means smaller doc_id, then start; a null doc_id is smaller than all, and rows that
+share a doc_id are ordered by a hash of their text. Where the first stays, rows equal in both count as one document, so
+all of them get the result of one; otherwise each row counts.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .bloom import Bloom, bloom_of
 from .common import written
-from .rolling import Rolling, anchors, byte_values, mix, word_bounds, word_values
+from .rolling import Anchors, Rolling, anchors, byte_values, mix, word_bounds, word_values
 
 _NULL = -(2**63)
 _FLUSH = 250_000
@@ -44,15 +54,110 @@ class Spec:
     gram: int
     first_stays: bool  # whether the earliest occurrence is left alone
     hot: int = 16_384
-
-
-def _rows(spec: Spec, text: pa.Scalar):
-    """The anchors of one text, with its values for later use."""
-    raw = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid and len(text.as_buffer()) else np.zeros(0, np.uint8)
-    if spec.unit == "bytes":
-        return raw, anchors(raw, spec.window, spec.gram, byte_values)
-    values = word_values(raw, *word_bounds(raw))
-    return values, anchors(values, spec.window, spec.gram)
+    max_bits: int = 1 << 28
+
+    @property
+    def levels(self) -> list[tuple[tuple[int, int] | None, tuple[int, int] | None]]:
+        """For each doubling the values that it adds to the right and to the left of an anchor, as (length before, after)."""
+
+        def steps(start: int, grown: int, limit: int) -> list[tuple[int, int]]:
+            out = []
+            while start < limit:
+                out.append((start, min(grown, limit)))
+                start, grown = out[-1][1], 2 * out[-1][1]
+            return out
+
+        return list(zip_longest(steps(self.gram, 2 * self.gram, self.window), steps(0, self.gram, self.window - self.gram)))
+
+
+def _ranks(spec: Spec, found: Anchors, rows: np.ndarray) -> np.ndarray:
+    """(row, level, side): rank at each length, as 32-bit names; 0 where no window of the anchor reaches that far."""
+    out = np.zeros((len(rows), len(spec.levels), 2), np.uint32)
+    offset = found.offset[rows]
+    reach = (spec.window - (offset - found.count[rows] + 1), offset)
+    for side in (0, 1):
+        rank = found.gram[rows]
+        for level, steps in enumerate(spec.levels):
+            if steps[side] is None:
+                break
+            start, end = steps[side]
+            at = np.flatnonzero(reach[side] >= end)
+            piece = found.piece(rows[at], start, end) if side == 0 else found.piece(rows[at], -end, -start)
+            rank[at] = mix(rank[at] * np.uint64(3) + piece)
+            out[at, level, side] = np.maximum(rank[at] >> np.uint64(32), 1)
+    return out
+
+
+def _pairs(grams: np.ndarray, names: np.ndarray, level: int, side: int) -> np.ndarray:
+    return mix(grams ^ mix(names.astype(np.uint64) + np.uint64((2 * level + side + 1) << 40)))
+
+
+def _left(spec: Spec, repeated: list[Bloom], found: Anchors, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest offset of the anchor in the windows that are repeated at every length they reach."""
+    high = found.offset[rows]
+    low = high - found.count[rows] + 1
+    names = _ranks(spec, found, rows)
+    for side in (0, 1):
+        on = np.ones(len(rows), bool)
+        for level, bloom in enumerate(repeated):
+            on &= names[:, level, side] > 0
+            unique = on.copy()
+            unique[on] = ~bloom.has(_pairs(found.gram[rows[on]], names[on, level, side], level, side))
+            on &= ~unique
+            if side == 0 and unique.any():
+                low = np.where(unique, np.maximum(low, spec.window - spec.levels[level][0][1] + 1), low)
+            elif unique.any():
+                high = np.where(unique, np.minimum(high, spec.levels[level][1][1] - 1), high)
+    return low, high
+
+
+@dataclass
+class _Docs:
+    """Neighbouring documents of a batch, from ``row`` on: their values end to end, document d from base[d] to base[d + 1]."""
+
+    row: int
+    ids: np.ndarray
+    ths: np.ndarray
+    base: np.ndarray
+    values: np.ndarray
+
+    def anchors(self, spec: Spec):
+        return anchors(self.values, spec.window, spec.gram, byte_values if spec.unit == "bytes" else lambda part: part, self.base)
+
+    def of(self, p: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.base[1:], p, side="right")
+
+    def places(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """id, th and the place inside its document of each value."""
+        d = self.of(p)
+        return self.ids[d], self.ths[d], p - self.base[d]
+
+
+#: Bytes of short documents that are handled at once.
+BLOCK = 1 << 15
+
+
+def _documents(spec: Spec, batches):
+    """Rows (id, th, text) as _Docs; a document longer than BLOCK is alone."""
+    for batch in batches:
+        texts = batch.column(2).fill_null("")
+        kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        at = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8) if len(texts) and texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+        ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        i = 0
+        while i < len(texts):
+            j = max(int(np.searchsorted(at, at[i] + BLOCK, side="right")) - 1, i + 1)
+            if spec.unit == "bytes":
+                values, base = data[at[i] : at[j]], at[i : j + 1] - at[i]
+            else:
+                raw = np.frombuffer(b"\n".join([data[a:b] for a, b in zip(at[i:j], at[i + 1 : j + 1], strict=True)]), np.uint8)
+                start, end = word_bounds(raw)
+                values = word_values(raw, start, end)
+                base = np.searchsorted(start, at[i : j + 1] - at[i] + np.arange(j - i + 1))
+                base[-1] = len(start)
+            yield _Docs(i, ids[i:j], ths[i:j], base, values)
+            i = j
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +202,7 @@ def _batch(**columns) -> pa.RecordBatch:
         v = columns.get(name)
         if isinstance(v, np.ndarray) and v.dtype == np.uint64:
             v = v.view(np.int64)
-        arrays.append(pa.nulls(size, kind) if v is None else pa.array(v, kind))
+        arrays.append(pa.nulls(size, kind) if v is None else v if isinstance(v, pa.Array) else pa.array(v, kind))
     return pa.RecordBatch.from_arrays(arrays, list(kinds))
 
 
@@ -114,12 +219,21 @@ class _Pending:
     def __init__(self, spec: Spec):
         self.spec, self.parts, self.data, self.size = spec, [], [], 0
 
-    def add(self, id_: int, th: int, g, c, p, n, q, data=None) -> None:
-        self.parts.append((g, c, np.full(len(g), id_, np.int64), np.full(len(g), th, np.int64), p, n, q))
-        if data is not None:
+    def add(self, docs: _Docs, g, c, p, n, q, data=None) -> None:
+        """``data``: a list of bytes, or an array with a row for each anchor."""
+        ids, ths, p = docs.places(p)
+        self.parts.append((g, c, ids, ths, p, n, q))
+        if isinstance(data, np.ndarray):
+            self.data.append(data)
+        elif data is not None:
             self.data += data
         self.size += len(g)
 
+    def _picked(self, data: list, rows: np.ndarray):
+        if not data:
+            return None
+        return _binary(np.concatenate(data)[rows]) if isinstance(data[0], np.ndarray) else [data[x] for x in rows]
+
     def flush(self):
         """First of each (gram, context) with their number; then the runs that are settled here."""
         if not self.size:
@@ -133,20 +247,12 @@ class _Pending:
         count = np.diff(np.append(first, len(group)))
         gone = _after_first(order, first, group, i, t, p) if self.spec.first_stays else (count > 1)[group]
         f = order[first]
-        yield _batch(a=g[f], c=c[f], id=i[f], th=t[f], p=p[f], n=n[f].astype(np.int32), q=q[f].astype(np.int32), cnt=count, data=[data[x] for x in f] if data else None)
+        yield _batch(a=g[f], c=c[f], id=i[f], th=t[f], p=p[f], n=n[f].astype(np.int32), q=q[f].astype(np.int32), cnt=count, data=self._picked(data, f))
         if gone.any():
             o = order[gone]
             yield _runs(i[o], t[o], p[o], p[o] + n[o] - 1 + w)
 
 
-def _each(batches):
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        ths = batch.column(1).to_numpy(zero_copy_only=False)
-        for k, text in enumerate(batch.column(2)):
-            yield int(ids[k]), int(ths[k]), text
-
-
 def _gram_counts(spec: Spec):
     def run(batches):
         held, size = [], 0
@@ -155,10 +261,10 @@ def _gram_counts(spec: Spec):
             a, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n.astype(np.int64))], ["a", "n"])
 
-        for _, _, text in _each(batches):
-            for g, *_ in _rows(spec, text)[1]:
-                held.append(g)
-                size += len(g)
+        for docs in _documents(spec, batches):
+            for found in docs.anchors(spec):
+                held.append(found.gram)
+                size += len(found.gram)
             if size >= 2 * _FLUSH:
                 yield flush()
                 held, size = [], 0
@@ -168,15 +274,23 @@ def _gram_counts(spec: Spec):
     return run
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row of a two-dimensional array as its bytes."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+
+
 def _context_ranks(spec: Spec, repeated):
+    """Anchors of repeated grams with their contexts; ``data``: their ranks at growing offsets."""
+
     def run(batches):
         known: Bloom = repeated.value
         pending = _Pending(spec)
-        for id_, th, text in _each(batches):
-            for g, c, p, n, q in _rows(spec, text)[1]:
-                at = known.has(g)
-                if at.any():
-                    pending.add(id_, th, g[at], c[at], p[at], n[at], q[at])
+        for docs in _documents(spec, batches):
+            for found in docs.anchors(spec):
+                at = np.flatnonzero(known.has(found.gram))
+                if len(at):
+                    pending.add(docs, *(x[at] for x in found), _ranks(spec, found, at).reshape(len(at), -1))
             if pending.size >= _FLUSH:
                 yield from pending.flush()
         yield from pending.flush()
@@ -184,33 +298,78 @@ def _context_ranks(spec: Spec, repeated):
     return run
 
 
-def _window_hashes(spec: Spec, values: np.ndarray) -> np.ndarray:
-    return Rolling(byte_values(values) if spec.unit == "bytes" else values).all(spec.window)
+def _level_pairs(spec: Spec, level: int, before):
+    """Pairs at one level of the anchors whose pairs repeat at all levels before: a (the pair), lo, hi (contexts)."""
 
+    def run(batches):
+        repeated: list[Bloom] = [b.value for b in before]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            grams, contexts = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            names = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(len(grams), len(spec.levels), 2)
+            pairs, held = [], []
+            for side in (0, 1):
+                at = np.flatnonzero(names[:, level, side])
+                for k, bloom in enumerate(repeated):
+                    at = at[bloom.has(_pairs(grams[at], names[at, k, side], k, side))]
+                pairs.append(_pairs(grams[at], names[at, level, side], level, side))
+                held.append(contexts[at].view(np.int64))
+            pair, context = np.concatenate(pairs), np.concatenate(held)
+            if not len(pair):
+                continue
+            order = np.lexsort((context, pair))
+            pair, context = pair[order], context[order]
+            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            last = np.append(first[1:], len(pair)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(pair[first].view(np.int64)), pa.array(context[first]), pa.array(context[last])], ["a", "lo", "hi"])
 
-def _open_contexts(spec: Spec, several, hot):
-    """Anchors of grams with several contexts, with what they cover; windows of hot grams as rows of their own."""
+    return run
+
+
+def _covered(spec: Spec, values: np.ndarray, p: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each run of n windows from p on: the bytes that they cover, or the hashes of the windows of words."""
+    if spec.unit == "bytes":
+        return [values[x : x + m - 1 + spec.window].tobytes() for x, m in zip(p, n, strict=True)]
+    a = int(p.min())
+    h = Rolling(values[a : int((p + n).max()) - 1 + spec.window]).all(spec.window)
+    return [h[x - a : x - a + m].tobytes() for x, m in zip(p, n, strict=True)]
+
+
+def _singles(spec: Spec, values: np.ndarray, g, p, n, q):
+    """Windows of anchors one by one: gram, rank, place, 1, offset, and the anchor's row."""
+    row = np.repeat(np.arange(len(g)), n)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at, offset = p[row] + k, q[row] - k
+    h = Rolling(byte_values(values) if spec.unit == "bytes" else values).of(at, at + spec.window)
+    return g[row], mix(h + offset.astype(np.int64).view(np.uint64)), at, np.ones(len(row), np.int64), offset, row
+
+
+def _open(spec: Spec, repeated: list[Bloom], found: Anchors, at: np.ndarray):
+    """The rows of ``at`` with windows left, and their gram, context, first window, windows and offset."""
+    low, high = _left(spec, repeated, found, at)
+    keep = low <= high
+    at, low, high = at[keep], low[keep], high[keep]
+    return at, found.gram[at], found.context[at], found.first[at] + found.offset[at] - high, high - low + 1, high
+
+
+def _open_contexts(spec: Spec, levels, several, hot):
+    """Anchors of grams with several contexts, with what their windows cover that are left after all levels; windows of hot
+    grams as rows of their own."""
 
     def run(batches):
-        some, many = several.value, hot.value
+        some, many, repeated = several.value, hot.value, [b.value for b in levels]
         pending, single = _Pending(spec), _Pending(spec)
-        for id_, th, text in _each(batches):
-            values, found = _rows(spec, text)
-            for g, c, p, n, q in found:
-                big = many.has(g)
-                at = np.flatnonzero(some.has(g) & ~big)
-                if len(at):
-                    if spec.unit == "bytes":
-                        data = [values[x : x + m - 1 + spec.window].tobytes() for x, m in zip(p[at], n[at], strict=True)]
-                    else:
-                        a = int(p[at[0]])
-                        h = _window_hashes(spec, values[a : int(p[at[-1]] + n[at[-1]]) - 1 + spec.window])
-                        data = [h[x - a : x - a + m].tobytes() for x, m in zip(p[at], n[at], strict=True)]
-                    pending.add(id_, th, g[at], c[at], p[at], n[at], q[at], data)
-                for x in np.flatnonzero(big):
-                    h = _window_hashes(spec, values[p[x] : p[x] + n[x] - 1 + spec.window])
-                    k = np.arange(n[x])
-                    single.add(id_, th, np.full(n[x], g[x]), mix(h + (q[x] - k).astype(np.uint64)), p[x] + k, np.ones(n[x], np.int64), q[x] - k)
+        for docs in _documents(spec, batches):
+            for found in docs.anchors(spec):
+                big = many.has(found.gram)
+                at = np.flatnonzero(big | some.has(found.gram))
+                at, g, c, p, n, q = _open(spec, repeated, found, at)
+                few, lots = np.flatnonzero(~big[at]), np.flatnonzero(big[at])
+                if len(few):
+                    pending.add(docs, g[few], c[few], p[few], n[few], q[few], _covered(spec, docs.values, p[few], n[few]))
+                if len(lots):
+                    single.add(docs, *_singles(spec, docs.values, g[lots], p[lots], n[lots], q[lots])[:5])
             if pending.size >= _FLUSH // 4:
                 yield from pending.flush()
             if single.size >= _FLUSH:
@@ -221,6 +380,38 @@ def _open_contexts(spec: Spec, several, hot):
     return run
 
 
+def _open_listed(spec: Spec, levels):
+    """The same for documents that come with the anchors to open: id, th, text, todo (a, c, p, cnt, big). The windows of hot
+    grams are rows of their own with ``data`` null."""
+
+    def run(batches):
+        repeated = [b.value for b in levels]
+        for batch in batches:
+            todo = batch.column("todo")
+            row = np.repeat(np.arange(len(todo)), todo.value_lengths().to_numpy())
+            key = (row << 40) + todo.flatten().field("p").to_numpy()
+            key, order = np.unique(key, return_index=True)
+            counts = todo.flatten().field("cnt").to_numpy()[order]
+            hot = todo.flatten().field("big").to_numpy(zero_copy_only=False)[order]
+            for docs in _documents(spec, [batch]):
+                for found in docs.anchors(spec):
+                    d = docs.of(found.first)
+                    here = ((d + docs.row) << 40) + found.first - docs.base[d]
+                    of = np.minimum(np.searchsorted(key, here), max(len(key) - 1, 0))
+                    at, g, c, p, n, q = _open(spec, repeated, found, np.flatnonzero(key[of] == here) if len(key) else np.zeros(0, int))
+                    cnt, big = counts[of[at]], hot[of[at]]
+                    few, lots = np.flatnonzero(~big), np.flatnonzero(big)
+                    if len(few):
+                        id_, th, at_ = docs.places(p[few])
+                        yield _batch(a=g[few], c=c[few], id=id_, th=th, p=at_, n=n[few].astype(np.int32), q=q[few].astype(np.int32), cnt=cnt[few], data=_covered(spec, docs.values, p[few], n[few]))
+                    if len(lots):
+                        a, h, at_, one, offset, of_row = _singles(spec, docs.values, g[lots], p[lots], n[lots], q[lots])
+                        id_, th, at_ = docs.places(at_)
+                        yield _batch(a=a, c=h, id=id_, th=th, p=at_, n=one.astype(np.int32), q=offset.astype(np.int32), cnt=cnt[lots][of_row])
+
+    return run
+
+
 def _rank_windows(spec: Spec):
     """Rows of whole grams, sorted by gram, are opened into windows; gives the runs that repeat."""
 
@@ -278,11 +469,15 @@ def repeated_runs(docs: DataFrame, spec: Spec) -> DataFrame:
 
     ``docs``: id (long), th (long), text.
     """
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
+    sc = docs.sparkSession.sparkContext
+
+    def bitmap(keys: DataFrame, n: int):
+        return sc.broadcast(bloom_of(keys, "a", n, max_bits=spec.max_bits))
+
     grams = docs.mapInArrow(_gram_counts(spec), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter("n > 1").select("a")
     grams = written(grams, "repeated-grams")
-    known = sc.broadcast(bloom_of(grams, "a", grams.count()))
-    ranks = written(docs.mapInArrow(_context_ranks(spec, known), _OUT).drop("data"), "context-ranks")
+    n_grams = grams.count()
+    ranks = written(docs.mapInArrow(_context_ranks(spec, bitmap(grams, n_grams)), _OUT), "context-ranks")
     runs = [ranks.filter("a is null").select("id", "th", "p", "n")]
 
     def settled(rows: DataFrame) -> DataFrame:
@@ -296,15 +491,30 @@ def repeated_runs(docs: DataFrame, spec: Spec) -> DataFrame:
         return rows.filter("_gone").select("id", "th", "p", (F.col("n") - 1 + spec.window).cast("int").alias("n"))
 
     firsts = ranks.filter("a is not null")
-    runs.append(settled(firsts))
+    beyond = 16 * n_grams > spec.max_bits
+    if beyond:
+        firsts = firsts.join(grams, "a", "left_semi")
+    runs.append(settled(firsts.drop("data")))
     per_gram = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("rows"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("a", "rows")
     per_gram = written(per_gram, "open-grams")
     n_some, n_hot = per_gram.agg(F.count_if(F.col("rows") <= spec.hot), F.count_if(F.col("rows") > spec.hot)).first()
-    some = sc.broadcast(bloom_of(per_gram.filter(F.col("rows") <= spec.hot), "a", n_some))
-    hot = sc.broadcast(bloom_of(per_gram.filter(F.col("rows") > spec.hot), "a", n_hot))
-    opened = written(docs.mapInArrow(_open_contexts(spec, some, hot), _OUT), "open-contexts")
+    levels: list = []
+    for level in range(len(spec.levels)):
+        pairs = firsts.select("a", "c", "data").mapInArrow(_level_pairs(spec, level, list(levels)), "a long, lo long, hi long")
+        pairs = pairs.groupBy("a").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("a")
+        pairs = written(pairs, f"repeated-pairs-{level}")
+        levels.append(bitmap(pairs, pairs.count()))
+    if beyond:
+        todo = firsts.join(per_gram, "a").groupBy("id", "th").agg(F.collect_list(F.struct("a", "c", "p", "cnt", (F.col("rows") > spec.hot).alias("big"))).alias("todo"))
+        # Rows equal in id and text are opened once where they count once.
+        one = docs.dropDuplicates(["id", "th"]) if spec.first_stays else docs
+        opened = one.join(todo, ["id", "th"]).select("id", "th", "text", "todo").mapInArrow(_open_listed(spec, levels), _OUT)
+    else:
+        some, hot = (bitmap(per_gram.filter(F.col("rows") <= spec.hot), n_some), bitmap(per_gram.filter(F.col("rows") > spec.hot), n_hot))
+        opened = docs.mapInArrow(_open_contexts(spec, levels, some, hot), _OUT)
+    opened = written(opened, "open-contexts")
     runs.append(opened.filter("a is null").select("id", "th", "p", "n"))
-    runs.append(settled(opened.filter("a is not null and data is null")))
+    runs.append(settled(opened.filter("a is not null and data is null").drop("data")))
     sorted_ = opened.filter("data is not null").repartition("a").sortWithinPartitions("a")
     runs.append(sorted_.mapInArrow(_rank_windows(spec), _OUT).select("id", "th", "p", "n"))
     every = runs[0]

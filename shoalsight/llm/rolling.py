@@ -11,6 +11,8 @@ anchors per value: a sparse set of positions through which every repeated window
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -99,21 +101,50 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(values: np.ndarray, window: int, k: int, of=lambda part: part):
-    """``of`` turns a part of ``values`` into 64-bit values. Yields, for each part of the sequence, (gram hash, context hash, first window, windows, offset of the anchor).
-
-    A row stands for the neighbouring windows that share one anchor: ``windows`` of them from ``first window`` on, the
-    anchor ``offset`` values after the first one's start. Context is all that these windows cover.
-    """
+@dataclass
+class Anchors:
+    """Of one part of a sequence: a row stands for the neighbouring windows that share one anchor, ``count`` of them from
+    window ``first`` on, the anchor ``offset`` values after the first one's start. Context is all that these windows cover."""
+
+    gram: np.ndarray
+    context: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    offset: np.ndarray
+    place: np.ndarray
+    roll: Rolling
+
+    def __iter__(self):
+        return iter((self.gram, self.context, self.first, self.count, self.offset))
+
+    def piece(self, rows: np.ndarray, start: int, end: int) -> np.ndarray:
+        """Hashes of the values from ``start`` to ``end`` relative to the anchors."""
+        return self.roll.of(self.place[rows] + start, self.place[rows] + end)
+
+
+def _chosen(roll: Rolling, window: int, k: int, starts: np.ndarray, shift: int) -> Anchors:
+    """The anchors of the windows at ``starts``, which rise; neighbours share a row only where their starts are neighbours."""
+    grams = roll.all(k)
+    keyed = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
+    at = (sliding_min(keyed, window - k + 1)[starts] & _LOW).astype(np.int64)
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
+    where = np.flatnonzero(new)
+    first, count, q = starts[where], np.diff(np.append(where, len(at))), at[where]
+    context = mix(roll.of(first, first + count - 1 + window) + (q - first).astype(np.uint64) * _C3)
+    return Anchors(grams[q], context, first + shift, count, q - first, q, roll)
+
+
+def anchors(values: np.ndarray, window: int, k: int, of=lambda part: part, bounds: np.ndarray | None = None):
+    """``of`` turns a part of ``values`` into 64-bit values. Yields the Anchors of each part of the sequence; with
+    ``bounds`` (starts and end) those of several short sequences that follow each other, none across a bound."""
+    if bounds is not None and len(bounds) > 2:
+        held = np.maximum(np.diff(bounds) - window + 1, 0)
+        starts = np.arange(held.sum()) + np.repeat(bounds[:-1] - np.cumsum(held) + held, held)
+        if len(starts):
+            yield _chosen(Rolling(of(values)), window, k, starts, 0)
+        return
     n = len(values)
     for a in range(0, n - window + 1, PART):
         b = min(a + PART + window - 1, n)
-        roll = Rolling(of(values[a:b]))
-        grams = roll.all(k)
-        keyed = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
-        at = (sliding_min(keyed, window - k + 1) & _LOW).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        count = np.diff(np.append(first, len(at)))
-        q = at[first]
-        context = mix(roll.of(first, first + count - 1 + window) + (q - first).astype(np.uint64) * _C3)
-        yield grams[q], context, first + a, count, q - first
+        yield _chosen(Rolling(of(values[a:b])), window, k, np.arange(b - a - window + 1), a)
