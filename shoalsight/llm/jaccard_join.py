@@ -1,8 +1,8 @@
 """N-gram Jaccard join with a token-group matrix.
 
 A document is the set of its distinct k-word shingles (one shingle of all its words where it has fewer); two documents
-link when their sets' Jaccard similarity is ``percent`` / 100 or more. Documents with equal sets form one class, whose
-least doc_id stands for it. Then
+link when their sets' Jaccard similarity is ``percent`` / 100 or more. Documents with equal sets form one class, a vertex
+named by the sets' signature; a component is named by the least doc_id of its classes. Then
 
 1. Tokens are ordered from rare to frequent by a fixed-size table of corpus counts (any fixed order is exact; this one
    keeps common passages out of the prefixes). A set linked with another shares a token with it among the first
@@ -24,7 +24,8 @@ Links inside one component are not enumerated, links between different texts are
 groups stay bounded because buckets are split, not cut short. Tokens are 64-bit hashes.
 
 Defined results: null and empty texts have no shingles and link with nothing; rows with a null doc_id take part in
-nothing and have a null component; rows that share a doc_id are one vertex.
+nothing and have a null component; rows that share a doc_id are documents of their own, each linked by its own text.
+Texts of any length are taken whole; columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -52,6 +53,7 @@ class Join:
     group: int = 256
     rounds: int = 2
     visitors: int = 2048
+    salted: int = 256
     buckets: int = 1 << 18
 
     def need(self, n):
@@ -69,14 +71,14 @@ def shingle_set(raw: np.ndarray, k: int) -> np.ndarray:
 
 
 def _texts(batches, k: int, wanted: Bloom | None = None):
-    """(id, shingle set) of rows (id, text, hash of id); with ``wanted`` only of ids that it has."""
+    """(id, hash of the text, shingle set) of rows (id, text, hash of id, hash of text); with ``wanted`` only of ids that it has."""
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids, ths = batch.column(0).to_numpy(), batch.column(3).to_numpy()
         some = np.flatnonzero(wanted.has(batch.column(2).to_numpy())) if wanted else range(batch.num_rows)
         texts = batch.column(1)
         for i in some:
             buf = texts[i].as_buffer() if texts[i].is_valid else b""
-            yield int(ids[i]), shingle_set(np.frombuffer(buf, np.uint8) if len(buf) else np.zeros(0, np.uint8), k)
+            yield int(ids[i]), int(ths[i]), shingle_set(np.frombuffer(buf, np.uint8) if len(buf) else np.zeros(0, np.uint8), k)
 
 
 def _signature(h: np.ndarray) -> tuple[int, int]:
@@ -116,35 +118,35 @@ def _possible(spec: Join, maps: list[bytes], n: np.ndarray, left: np.ndarray, ri
 
 def _profiles(spec: Join):
     """A row for each document: n, signatures, permuted minima, parity map; and rows (bucket, count) of its tokens."""
-    names = ["id", "n", "s1", "s2", *[f"m{r}" for r in range(spec.rounds)], "map", "bucket", "count"]
+    names = ["id", "th", "n", "s1", "s2", *[f"m{r}" for r in range(spec.rounds)], "map", "bucket", "count"]
 
     def rows(held):
-        *cols, maps = list(zip(*held, strict=True)) if held else [[] for _ in range(5 + spec.rounds)]
+        *cols, maps = list(zip(*held, strict=True)) if held else [[] for _ in range(6 + spec.rounds)]
         none = pa.nulls(len(held), pa.int64())
         return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], pa.array(maps, pa.binary()), none, none], names)
 
     def run(batches):
         counts, held = np.zeros(spec.buckets, np.int64), []
-        for id_, h in _texts(batches, spec.k):
+        for id_, th, h in _texts(batches, spec.k):
             if len(h):
                 np.add.at(counts, (h & np.uint64(spec.buckets - 1)).astype(np.int64), 1)
                 minima = [int(mix(h ^ _SEEDS[r]).min().astype(np.int64)) for r in range(spec.rounds)]
             else:
                 minima = [0] * spec.rounds
-            held.append((id_, len(h), *_signature(h), *minima, parity_map(h)))
+            held.append((id_, th, len(h), *_signature(h), *minima, parity_map(h)))
             if len(held) >= 2000:
                 yield rows(held)
                 held = []
         yield rows(held)
         at = np.flatnonzero(counts)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none] * (4 + spec.rounds) + [pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(counts[at])], names)
+        yield pa.RecordBatch.from_arrays([none] * (5 + spec.rounds) + [pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(counts[at])], names)
 
     return run, ", ".join(f"{x} binary" if x == "map" else f"{x} long" for x in names)
 
 
 def _prefixes(spec: Join, counts):
-    """s1, n and the prefix tokens, rarest first; a task sends each set once."""
+    """s1, n and the prefix tokens, rarest first; a task sends a set that it remembers once."""
 
     def run(batches):
         often, seen = counts.value, set()
@@ -153,9 +155,11 @@ def _prefixes(spec: Join, counts):
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.binary())], ["s1", "n", "tokens"])
 
-        for _, h in _texts(batches, spec.k):
+        for *_, h in _texts(batches, spec.k):
             if not len(h) or (sig := _signature(h)[0]) in seen:
                 continue
+            if len(seen) >= 500_000:  # only spares work: what is sent twice is aggregated below
+                seen.clear()
             seen.add(sig)
             order = np.lexsort((h, often[(h & np.uint64(spec.buckets - 1)).astype(np.int64)]))
             s.append(sig), n.append(len(h)), tokens.append(h[order[: len(h) - spec.need(len(h)) + 1]].tobytes())
@@ -189,7 +193,7 @@ def _opened(shared):
 def _whole_sets(spec: Join, wanted):
     def run(batches):
         i, s, data = [], [], []
-        for id_, h in _texts(batches, spec.k, wanted.value):
+        for id_, _, h in _texts(batches, spec.k, wanted.value):
             i.append(id_), s.append(_signature(h)[0]), data.append(h.tobytes())
             if len(i) >= 500:
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(s, pa.int64()), pa.array(data, pa.binary())], ["rep", "s1", "tokens"])
@@ -283,26 +287,26 @@ def _open(spec: Join, docs: DataFrame, rows: DataFrame, keys: list[str]) -> Data
     schema = ", ".join(f"{k} long" for k in keys) + ", side int, rep long, s1 long, comp long"
     members = written(rows.mapInArrow(_survivors(spec, keys), schema), "survivors")
     sets = _sets_of(spec, docs, members.select("rep", "s1").distinct())
-    return members.join(sets, ["rep", "s1"]).select(*keys, "side", "rep", "comp", "tokens").repartition(*keys).sortWithinPartitions(*keys)
+    return members.join(sets, ["rep", "s1"]).select(*keys, "side", "s1", "comp", "tokens").repartition(*keys).sortWithinPartitions(*keys)
 
 
 def _inside(spec: Join):
-    """Links inside groups. Rows: bucket, part, side, rep, comp, tokens."""
+    """Links inside groups. Rows: bucket, part, side, s1, comp, tokens."""
 
     def run(batches):
         for table in _streamed(batches, 2):
-            rep = table["rep"].to_pylist()
+            sig = table["s1"].to_pylist()
             sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
             n = np.array([len(x) for x in sets])
             i, j = np.nonzero(np.triu(_linked(_overlaps(sets, sets), n, n, spec.percent), 1))
             if len(i):
-                yield _edge_batch([rep[x] for x in i], [rep[x] for x in j])
+                yield _edge_batch([sig[x] for x in i], [sig[x] for x in j])
 
     return run
 
 
 def _between(spec: Join):
-    """Links between queries (side 0) and the members (side 1) of their host. Rows: host, part, side, rep, comp, tokens."""
+    """Links between queries (side 0) and the members (side 1) of their host. Rows: host, part, side, s1, comp, tokens."""
 
     def run(batches):
         for table in _streamed(batches, 2):
@@ -336,13 +340,13 @@ def _sets_of(spec: Join, docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _labelled(classes: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        return classes.withColumn("comp", F.col("rep"))
-    found = labels.select(F.col("id").alias("rep"), "component")
-    return classes.join(found, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        return classes.withColumn("comp", F.col("s1"))
+    found = labels.select(F.col("id").alias("s1"), "component")
+    return classes.join(found, "s1", "left").withColumn("comp", F.coalesce("component", "s1")).drop("component")
 
 
 def _parts(spec: Join, r: int):
-    return F.pmod(F.xxhash64("rep", F.lit(r)), F.col("parts"))
+    return F.pmod(F.xxhash64("s1", F.lit(r)), F.col("parts"))
 
 
 def _round(spec: Join, docs: DataFrame, classes: DataFrame, r: int) -> DataFrame:
@@ -350,7 +354,7 @@ def _round(spec: Join, docs: DataFrame, classes: DataFrame, r: int) -> DataFrame
     parts = F.ceil(F.count(F.lit(1)) / spec.group)
     buckets = (
         classes.groupBy(F.col(f"m{r}").alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("size"), parts.alias("parts"), F.min(F.struct("rep", "s1", "comp", "n", "map")).alias("pivot"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        .agg(F.count(F.lit(1)).alias("size"), parts.alias("parts"), F.min(F.struct("s1", "rep", "comp", "n", "map")).alias("pivot"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
         .filter("size > 1 and c0 <> c1")
         .select("bucket", "parts", "pivot")
     )
@@ -373,14 +377,17 @@ def _group_pairs(spec: Join, docs: DataFrame, groups: DataFrame, counts) -> Data
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("comp").alias("c0"), F.max("comp").alias("c1")
     )
     matrix = written(matrix, "matrix")
-    mixed = matrix.groupBy("t").agg(F.min("c0").alias("a"), F.max("c1").alias("b")).filter("a <> b").select("t")
-    matrix = written(matrix.join(mixed, "t", "left_semi"), "mixed-matrix")
-    a = matrix.select("t", *[F.col(c).alias(f"{c}_1") for c in ("g", "lo", "hi", "rest", "c0", "c1")])
-    b = matrix.select("t", *[F.col(c).alias(f"{c}_2") for c in ("g", "lo", "hi", "rest", "c0", "c1")])
+    # A token of many groups is dealt to ``salts`` tasks: one side by salt, the other once for each.
+    salts = F.ceil(F.count(F.lit(1)) / spec.salted).cast("int").alias("salts")
+    mixed = matrix.groupBy("t").agg(F.min("c0").alias("a"), F.max("c1").alias("b"), salts).filter("a <> b").select("t", "salts")
+    matrix = written(matrix.join(mixed, "t"), "mixed-matrix")
+    wide = ("g", "lo", "hi", "rest", "c0", "c1")
+    a = matrix.select("t", F.pmod(F.xxhash64("g"), F.col("salts")).cast("int").alias("salt"), *[F.col(c).alias(f"{c}_1") for c in wide])
+    b = matrix.select("t", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"{c}_2") for c in wide])
     p = spec.percent
     least = F.ceil(p * (F.col("lo_1") + F.col("lo_2")) / (100 + p) - F.lit(1e-9))
     return (
-        a.join(b, "t")
+        a.join(b, ["t", "salt"])
         .filter("g_1 < g_2 and (c0_1 <> c1_1 or c0_2 <> c1_2 or c0_1 <> c0_2)")
         .filter((100 * F.col("hi_2") >= p * F.col("lo_1")) & (100 * F.col("hi_1") >= p * F.col("lo_2")) & (F.least("rest_1", "rest_2") >= least))
         .select(F.col("g_1").alias("g1"), F.col("g_2").alias("g2"))
@@ -405,10 +412,11 @@ def _hosted(spec: Join, groups: DataFrame, pairs: DataFrame) -> DataFrame:
     return guests.unionByName(members)
 
 
-def jaccard_components(docs: DataFrame, spec: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row of ``docs`` (doc_id, text)."""
+def _components(docs: DataFrame, spec: Join) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, th, n, s1, s2) of all documents, id null as _NULL and th the hash of the text; and (s1, s2, n, comp, least)
+    of the classes: the component's name and its least id."""
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("id"), "text")
-    base = base.withColumn("h", F.xxhash64("id"))
+    base = base.withColumns({"h": F.xxhash64("id"), "th": F.xxhash64("text")})
     run, schema = _profiles(spec)
     profiles = written(base.mapInArrow(run, schema), "profiles")
     table = profiles.filter("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()
@@ -431,19 +439,38 @@ def jaccard_components(docs: DataFrame, spec: Join = Join()) -> DataFrame:
     opened = _open(spec, base, _hosted(spec, groups, pairs), ["host", "part"])
     more = opened.mapInArrow(_between(spec), _EDGES)
     labels = written(connected_components(edges.union(more)), "labels")
-    named = _labelled(classes, labels).select("s1", "s2", "n", "comp")
+    named = _labelled(classes, labels)
+    least = named.groupBy("comp").agg(F.min("rep").alias("least"))
     # Written, so that Spark sees two plain shuffles below the join and can split the copies of one text.
-    named = written(named.groupBy("s1", "s2", "n").agg(F.min("comp").alias("comp")), "names")
-    out = rows.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
+    named = written(named.select("s1", "s2", "n", "comp").join(least, "comp"), "names")
+    return rows.select("id", "th", "n", "s1", "s2"), named
+
+
+def jaccard_components(docs: DataFrame, spec: Join = Join()) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row for each row of ``docs`` (doc_id, text)."""
+    rows, named = _components(docs, spec)
+    out = rows.join(named, ["s1", "s2", "n"], "left")
     own = F.when(F.col("id") != _NULL, F.col("id"))
-    component = F.when(F.col("id") != _NULL, F.coalesce("comp", "id"))
+    component = F.when(F.col("id") != _NULL, F.coalesce("least", "id"))
     return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, spec: Join = Join()) -> DataFrame:
     """``docs`` with one document of each component: the one with the least doc_id (of rows that share it, the one whose
-    text's hash is least). Rows with a null doc_id stay."""
-    found = jaccard_components(docs, spec).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("_n", first).filter("_n = 1 or doc_id is null").drop("_n")
+    text's hash is least; of rows equal in both, one). Rows with a null doc_id and texts without words stay."""
+    rows, named = _components(docs, spec)
+    rows = rows.filter(f"id <> {_NULL} and n > 0").groupBy("id", "th", "n", "s1", "s2").agg(F.count(F.lit(1)).alias("copies"))
+    rows = written(rows.join(named.drop("least"), ["s1", "s2", "n"]).select("id", "th", "comp", "copies"), "kept-or-not")
+    first = rows.groupBy("comp").agg(F.min(F.struct("id", "th")).alias("first"))
+    judged = rows.join(first, "comp").withColumn("gone", F.struct("id", "th") != F.col("first"))
+    judged = written(judged.filter("gone or copies > 1").select(F.col("id").alias("_id"), F.col("th").alias("_th"), "gone"), "gone")
+    keyed = docs.withColumns({"_kid": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)), "_kth": F.xxhash64("text")})
+    at = lambda df: (F.col("_kid") == df["_id"]) & (F.col("_kth") == df["_th"])
+    gone, again = judged.filter("gone"), judged.filter("not gone")
+    kept = keyed.join(gone, at(gone), "left_anti")
+    if not again.isEmpty():
+        # Rows equal in doc_id and text are aggregated, not listed, however many they are.
+        all_ = F.struct(*docs.columns)
+        one = kept.join(again, at(again), "left_semi").groupBy("_kid", "_kth").agg(F.min_by(all_, F.xxhash64(*docs.columns)).alias("_row"))
+        kept = kept.join(again, at(again), "left_anti").select(*docs.columns).unionByName(one.select("_row.*"))
+    return kept.select(*docs.columns)

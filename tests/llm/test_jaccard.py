@@ -59,3 +59,26 @@ def test_odd_rows(spark):
     left = keep_one(df)
     assert left.columns == df.columns
     assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted([None, None, 5, 7, 8], key=str)
+
+
+def test_rows_that_share_ids(spark):
+    """Rows that share a doc_id are linked by their own texts, and only copies go; extra columns and long texts pass."""
+    rng = random.Random(21)
+    a, b, c, long = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (80, 80, 80, 50_000))
+    rows = [(1, a, 1), (5, a + " x", 2), (5, b, 3), (9, b + " y", 4), (6, c, 5), (6, c + " z", 6), (6, c, 7), (None, a, 8), (None, a, 9), (7, None, 10), (7, None, 11), (7, "", 12), (8, long, 13), (9, long + " y", 14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, th int").repartition(3)
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(df).collect()}
+    assert found >= {(1, 76, 1), (5, 77, 1), (5, 76, 5), (9, 77, 5), (6, 76, 6), (6, 77, 6), (None, 76, None), (7, 0, 7), (8, 49_996, 8), (9, 49_997, 8)}
+    left = keep_one(df)
+    assert left.columns == df.columns
+    kept = sorted(r["th"] for r in left.collect())
+    assert [x for x in kept if x not in (5, 6, 7)] == [1, 3, 8, 9, 10, 11, 12, 13] and len([x for x in kept if x in (5, 6, 7)]) == 1
+    assert keep_one(brute.frame(spark, [])).collect() == [] and keep_one(brute.frame(spark, [None, "", " "])).count() == 3
+
+
+def test_common_token_is_salted(spark):
+    """A prefix token of many groups is joined in parts; the links are the same."""
+    texts = corpus(9)
+    df = brute.frame(spark, texts).repartition(6)
+    got = jaccard_components(df, Join(k=3, percent=90, group=2, visitors=20, salted=2, buckets=1 << 10)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(list(enumerate(texts)), 3, 90)
