@@ -7,8 +7,9 @@ two new pairs are pushed. The count is the initial symbols minus the merges; no
 pieces are remembered in each Python worker, in a table of bounded size that is emptied when full.
 
 Merge ranks are read once on the driver from a tokenizer file whose path is a parameter and sent as a broadcast
-variable (its size is the vocabulary's, whatever the data). Defined results: a null text counts as the empty text with
-0 tokens; repeated rows are counted one by one; columns beside doc_id and text are ignored.
+variable (its size is the vocabulary's, whatever the data). A file with another normalizer, split or model is refused.
+Defined results: a null text counts as the empty text with 0 tokens; repeated rows are counted one by one; texts of any
+length are counted whole; columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -40,10 +41,15 @@ def read_merges(path: str) -> tuple[list[tuple[bytes, bytes]], list[str]]:
     """Merges in rank order and the special strings of a byte-level tokenizer file."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    pre, model, added = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("added_tokens", [])
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and model.get("type", "BPE") == "BPE"
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges") if model.get(k)]
+    if not plain or odd or any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path} is no byte-level tokenizer of the kind that is counted here")
     at = byte_alphabet()
     raw = lambda s: bytes(at[c] for c in s)
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-    return [(raw(a), raw(b)) for a, b in merges], [t["content"] for t in spec.get("added_tokens", [])]
+    return [(raw(a), raw(b)) for a, b in merges], [t["content"] for t in added]
 
 
 def count_merged(piece: bytes, ranks: dict[tuple[bytes, bytes], int]) -> int:
