@@ -8,7 +8,9 @@ Training rows are a bounded, documented sample: labelled rows outside the held-o
 them, those with the smallest xxhash64(doc_id). Labels, lang, source and doc_id are never inputs.
 
 Defined results: a null text has the statistics of the empty text and gets a score like any other; a null doc_id is
-never held out and never trained on; rows without usable labels make the prior 0.5; repeated rows score alike.
+never held out and never trained on; rows without usable labels make the prior 0.5; repeated rows score alike. Of rows
+that share a doc_id one is trained on, that with the least hash of its statistics, and of repeated labels the greatest
+counts, so reruns agree. Texts of any length are measured whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -153,9 +155,10 @@ def held_out(doc_id: Column) -> Column:
 def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, cut: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``; ``labels``: doc_id, quality."""
     stats = written(features(docs), "statistics")
-    known = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    train = stats.dropDuplicates(["doc_id"]).join(sample, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "quality").toArrow()
+    rows = stats.join(sample, "doc_id").groupBy("doc_id").agg(F.min_by("x", F.struct(F.xxhash64("x"), F.col("x"))).alias("x"), F.max("quality").alias("quality"))
+    train = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "quality").toArrow()
     x = np.asarray(train["x"].combine_chunks().flatten(), float).reshape(len(train), len(NAMES))
     model = fit(x, train["quality"].to_numpy().astype(float))
 
