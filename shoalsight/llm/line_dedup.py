@@ -1,17 +1,21 @@
 """Line dedup: levelled sorted runs of line hashes.
 
-``LineRuns`` is a log-structured store of line keys in the shared folder. ``add`` turns a batch of documents into a
-sorted run of (128-bit key hash, documents, largest doc_id, fresh): the batch is merge-joined with the live runs, and
-keys without a match there (the anti-join) are marked fresh. When a level holds ``fanout`` runs they are merged into
-one run of the next level, so n batches leave O(log n) runs and each key is rewritten O(log n) times.
+``LineRuns`` is a log-structured store of line keys in the shared folder. ``add`` reduces a batch of documents to its
+distinct keys (128-bit hashes) with the number of documents and the largest doc_id that hold them, and merge-joins them
+with the live runs. The anti-join decides: keys that no run holds become a new sorted run, so each key lies in one run
+only; keys that a run holds already become a sorted run of additions, which add to their counts. When a level holds
+``fanout`` runs of a kind they are merged into one run of the next level, so n batches leave O(log n) runs and each row
+is rewritten O(log n) times. The totals are the runs of keys joined with the summed additions: keys that never came back
+are not aggregated again.
 
 ``dedup_lines`` feeds the documents to a store in batches, compacts it and removes, from each document, the lines
 whose key is held by ``min_docs`` documents or more, but for the document with the largest doc_id among them.
 
 A key is the line with separators stripped at both ends and A-Z lower-cased; keys under ``min_chars`` code points are
-never touched. Defined results: a null or empty text is one empty line. A row whose doc_id is null counts as a
-document and is never the one that keeps a line. Rows with one doc_id count one by one and share the right to keep.
-Other columns pass through.
+never touched. Defined results: a null or empty text is one empty line. Rows that share a doc_id are one document in
+the counts and share the right to keep; a row whose doc_id is null counts as a document of its own and is never the one
+that keeps a line. Texts and lines of any length are taken whole. Other columns pass through. A batch holds all rows of
+a doc_id.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, ascii_lower, new_path, row_key, text_or_empty, written
 
-RUN = "h1 long, h2 long, n_docs long, max_doc long, fresh boolean"
+RUN = "h1 long, h2 long, n_docs long, max_doc long"
 
 
 def line_keys(text: Column, min_chars: int) -> Column:
@@ -34,56 +38,69 @@ def line_keys(text: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """Append-only store; ``levels[i]`` lists the paths of the live runs of level i."""
+    """Append-only store; ``levels[i]`` (runs of keys) and ``additions[i]`` list the paths of the live runs of level i."""
 
     def __init__(self, spark: SparkSession, fanout: int = 4, min_chars: int = 20):
         self.spark, self.fanout, self.min_chars = spark, fanout, min_chars
         self.levels: list[list[str]] = [[]]
+        self.additions: list[list[str]] = [[]]
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths)
+    def _read(self, levels: list[list[str]]) -> DataFrame:
+        live = [p for level in levels for p in level]
+        return self.spark.read.schema(RUN).parquet(*live) if live else self.spark.createDataFrame([], RUN)
 
-    def _put(self, run: DataFrame, level: int) -> None:
+    def _put(self, run: DataFrame, levels: list[list[str]], level: int) -> None:
         path = new_path(self.spark, f"lines-{level}")
-        run.select("h1", "h2", "n_docs", "max_doc", "fresh").sortWithinPartitions("h1", "h2").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+        run.select("h1", "h2", "n_docs", "max_doc").sortWithinPartitions("h1", "h2").write.parquet(path)
+        while len(levels) <= level:
+            levels.append([])
+        levels[level].append(path)
 
     @staticmethod
-    def _merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.max("fresh").alias("fresh"))
+    def _summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
 
     def keys_of(self, batch: DataFrame) -> DataFrame:
         keys = F.array_distinct(F.array_compact(line_keys(text_or_empty("text"), self.min_chars)))
-        rows = batch.select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.h1", "k.h2")
-        return rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").cast("long").alias("max_doc"))
+        rows = batch.select(F.col("doc_id").cast("long").alias("max_doc"), F.explode(keys).alias("k")).groupBy("k.h1", "k.h2", "max_doc")
+        rows = rows.agg(F.count(F.lit(1)).alias("rows")).withColumn("n_docs", F.when(F.col("max_doc").isNull(), F.col("rows")).otherwise(F.lit(1).cast("long")))
+        return self._summed(rows)
 
-    def live(self) -> list[str]:
-        return [p for level in self.levels for p in level]
+    def _marked(self, batch: DataFrame) -> DataFrame:
+        """Keys of the batch, merge-joined with the runs of keys; ``fresh``: no run holds the key."""
+        held = self._read(self.levels).select("h1", "h2", F.lit(True).alias("_held")).hint("merge")
+        return self.keys_of(batch).join(held, ["h1", "h2"], "left").withColumn("fresh", F.col("_held").isNull()).drop("_held")
 
     def fresh_keys(self, batch: DataFrame) -> DataFrame:
         """Keys of the batch that no run holds yet."""
-        keys = self.keys_of(batch)
-        return keys.join(self._read(self.live()).select("h1", "h2"), ["h1", "h2"], "left_anti") if self.live() else keys
+        return self._marked(batch).filter("fresh").drop("fresh")
 
     def add(self, batch: DataFrame) -> None:
-        keys = self.keys_of(batch)
-        if self.live():
-            seen = self._read(self.live()).select("h1", "h2").distinct().withColumn("_seen", F.lit(True))
-            keys = keys.join(seen, ["h1", "h2"], "left").withColumn("fresh", F.col("_seen").isNull())
+        """One merge join splits the batch: what is left without a match is a run of keys, the rest one of additions."""
+        if not any(self.levels):
+            self._put(self.keys_of(batch), self.levels, 0)
         else:
-            keys = keys.withColumn("fresh", F.lit(True))
-        self._put(keys, 0)
-        for level in range(len(self.levels)):
-            if len(self.levels[level]) >= self.fanout:
-                runs, self.levels[level] = self.levels[level], []
-                self._put(self._merged(self._read(runs)), level + 1)
-
-    def totals(self) -> DataFrame:
-        """One row for each key over all live runs."""
-        live = self.live()
-        return self._merged(self._read(live)) if live else self.spark.createDataFrame([], RUN)
+            path = new_path(self.spark, "lines-0")
+            self._marked(batch).sortWithinPartitions("fresh", "h1", "h2").write.partitionBy("fresh").parquet(path)
+            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            for fresh, levels in (("true", self.levels), ("false", self.additions)):
+                part = f"{path}/fresh={fresh}"
+                if files.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(part)):
+                    levels[0].append(part)
+        for levels, merged in ((self.levels, lambda runs: runs.repartition("h1", "h2")), (self.additions, self._summed)):
+            for level in range(len(levels)):
+                if len(levels[level]) >= self.fanout:
+                    runs = self._read([levels[level]])
+                    levels[level] = []
+                    self._put(merged(runs), levels, level + 1)
+
+    def totals(self, least: int = 1) -> DataFrame:
+        """One row for each key over all live runs that at least ``least`` documents hold."""
+        more = self._summed(self._read(self.additions)).select("h1", "h2", F.col("n_docs").alias("_n"), F.col("max_doc").alias("_m"))
+        rows = self._read(self.levels).join(more, ["h1", "h2"], "left")
+        n = F.col("n_docs") + F.coalesce("_n", F.lit(0))
+        return rows.select("h1", "h2", n.alias("n_docs"), F.greatest("max_doc", "_m").alias("max_doc")).filter(F.col("n_docs") >= least)
 
 
 def _batches(docs: DataFrame, n: int) -> list[DataFrame]:
@@ -109,7 +126,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, n_batch
     store = LineRuns(docs.sparkSession, fanout, min_chars)
     for batch in _batches(docs, n_batches):
         store.add(batch)
-    common = written(store.totals().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc"), "common-lines")
+    common = written(store.totals(min_docs).select("h1", "h2", "max_doc"), "common-lines")
     at = docs.select(*row_key(), "doc_id", F.posexplode(line_keys(text_or_empty("text"), min_chars)).alias("pos", "k")).filter(F.col("k").isNotNull())
     at = at.select("_id", "_th", "doc_id", "pos", "k.h1", "k.h2")
     drops = (
