@@ -58,7 +58,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir).select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(documents(spark, sf_dir).select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,13 +158,29 @@ WITH d AS (
 ), v AS (
   SELECT rest, ws FROM c WHERE NOT capped ORDER BY n / w, sid LIMIT 1
 ), t AS (
-  SELECT source, n, CASE WHEN capped THEN (3 * n)::DOUBLE ELSE ((SELECT rest FROM v) * w)::DOUBLE / (SELECT ws FROM v)::DOUBLE END AS target FROM c
+  SELECT sid, source, n, CASE WHEN capped THEN (3 * n)::DOUBLE ELSE ((SELECT rest FROM v) * w)::DOUBLE / (SELECT ws FROM v)::DOUBLE END AS target FROM c
 ), p AS (
-  SELECT d.*, t.n, t.target, floor(t.target + 0.5)::BIGINT AS goal,
+  SELECT d.*, t.sid, t.n, t.target, floor(t.target + 0.5)::BIGINT AS goal,
     (sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS a
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), o AS (
+  SELECT doc_id, size, n AS source_size, target, sid, a // 1024 AS rank,
+    (CASE WHEN n = 0 THEN 0 ELSE (goal // n) * size + greatest(least(a + size, goal % n) - a, 0) END)::BIGINT AS taken
+  FROM p
+), g AS (
+  SELECT sid, n, floor(target + 0.5)::BIGINT AS goal FROM t WHERE n > 0 AND floor(target + 0.5) > 0
+), e AS (
+  SELECT sid, ((goal // n) * ((n + 1023) // 1024) + (goal % n + 1023) // 1024)::BIGINT AS need FROM g
+), u AS (
+  SELECT *, coalesce(sum(need) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(need) OVER () AS total FROM e
+), q AS (
+  SELECT unnest(range((SELECT ((27 * max(total) + 9) // 10 + 8)::BIGINT FROM u))) AS slot
+), x AS (
+  SELECT slot, (slot::HUGEINT * 2850178704830799621 % 4611686018427387904)::BIGINT::DOUBLE / 4611686018427387904::DOUBLE AS x FROM q
+), h AS (
+  SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank
+  FROM x JOIN u ON x >= before::DOUBLE / total::DOUBLE AND x < (before + need)::DOUBLE / total::DOUBLE
 )
-SELECT doc_id, size, n AS source_size, target,
-  (CASE WHEN n = 0 THEN 0 ELSE (goal // n) * size + greatest(least(a + size, goal % n) - a, 0) END)::BIGINT AS taken
-FROM p""",
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN slot END AS first_slot
+FROM o LEFT JOIN h ON o.sid = h.sid AND o.rank = h.rank""",
 }
