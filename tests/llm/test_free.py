@@ -33,6 +33,25 @@ def test_token_counts(spark):
     assert token_counts.token_counts(brute.frame(spark, []), P.path("byte_bpe_50k.json")).collect() == []
 
 
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    good = json.load(open(P.path("byte_bpe_50k.json"), encoding="utf-8"))
+    good["model"]["merges"] = good["model"]["merges"][:5]
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": good["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": good["model"] | {"end_of_word_suffix": "</w>"}}):
+        (tmp_path / "t.json").write_text(json.dumps(good | change))
+        with pytest.raises(ValueError):
+            token_counts.read_merges(str(tmp_path / "t.json"))
+    (tmp_path / "t.json").write_text(json.dumps(good))
+    assert len(token_counts.read_merges(str(tmp_path / "t.json"))[0]) == 5
+
+
+def test_token_counts_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a"), (None, None)], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in token_counts.token_counts(df, P.path("byte_bpe_50k.json")).collect())
+    assert got == [("1", 2), ("1", 2), ("None", 0), ("None", 1)]
+
+
 def test_merge_order():
     ranks = {(b"a", b"b"): 1, (b"b", b"c"): 0, (b"bc", b"d"): 2, (b"a", b"a"): 3}
     assert [token_counts.count_merged(x, ranks) for x in (b"", b"a", b"abc", b"abcd", b"aaaa", b"aaa", b"ab")] == [0, 1, 2, 2, 2, 2, 1]
@@ -73,6 +92,41 @@ def test_secret_scan(spark):
     assert secrets.scan_secrets(brute.frame(spark, [])).collect() == []
 
 
+def plain_entropy(text, base, window=20):
+    """Entropy spans by counting each window anew and looking at every base span."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        run = m.group()
+        if secrets.allowed(run) or any(s < m.end() and e > m.start() for s, e in base):
+            continue
+        least = 2.9 if re.fullmatch(r"[0-9a-fA-F]+", run) else 3.7 if re.fullmatch(r"[A-Za-z0-9]+", run) else 3.9
+        bits = []
+        for i in range(len(run) - window + 1):
+            part = run[i : i + window]
+            bits.append(-sum(part.count(c) / window * np.log2(part.count(c) / window) for c in set(part)))
+        high = [i for i, b in enumerate(bits) if b >= least - 1e-9]
+        if high:
+            out.append((m.start() + high[0], m.start() + high[-1] + window))
+    return out
+
+
+def test_entropy_spans():
+    rng = random.Random(10)
+    parts = ["Zq8Lk2Vx9TnB4mWc7RyH1sJd", "deadBEEF0123456789ab", "aaaaaaaaaaaaaaaaaaaaaaaaaa", "some_plain_name_of_things", "A+b/c=D-e_f", " ", "\n", "token=", "é", "q8", "0123-4567"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        base = [(s, e) for s, k, e in secrets.find_spans(text) if k < 3]
+        assert [(s, e) for s, k, e in secrets.find_spans(text) if k == 3] == plain_entropy(text, base), text
+
+
+def test_secret_scan_of_repeated_and_long_rows(spark):
+    key = "Zq8Lk2Vx9TnB4mWc7RyH1sJd"
+    long = f"password=abcdefghijkl {key} " * 30_000
+    df = spark.createDataFrame([(1, key), (1, key), (None, key), (2, long)], "doc_id long, text string")
+    rows = secrets.scan_secrets(df).collect()
+    assert sorted((str(r["doc_id"]), len(r["spans"])) for r in rows) == [("1", 1), ("1", 1), ("2", 60_000), ("None", 1)]
+
+
 def test_random_keys_are_not_names():
     assert secrets.entropy_spans("letters qZxLkVbTnBwmWcYRyHsJdf end", []) == [(8, 30)]
     rng = random.Random(9)
@@ -132,6 +186,18 @@ def test_quality_scores(spark):
     assert {r["score"] for r in quality_scores(df.limit(3), labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_scores_of_repeated_rows(spark):
+    """Rows that share an id: the same one is trained on, whatever the order and partitioning."""
+    rng = random.Random(18)
+    word = lambda: rng.choice("the of and stone river light walks under green hill".split())
+    rows = [(i % 60 if i % 9 else None, " ".join(word() if i % 2 else "the" for _ in range(rng.randint(20, 90)))) for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 1), (None, 1)], "doc_id long, quality int")
+    one = spark.createDataFrame(rows, "doc_id long, text string")
+    a = sorted((str(r["doc_id"]), r["score"], r["held_out"]) for r in quality_scores(one, labels).collect())
+    b = sorted((str(r["doc_id"]), r["score"], r["held_out"]) for r in quality_scores(one.orderBy(F.desc("text")).repartition(5), labels).collect())
+    assert a == b and len(a) == 240 and not any(h for i, _, h in a if i == "None")
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     """A small corpus with every kind of case, written as the tables of the pipeline."""
@@ -177,6 +243,21 @@ def test_pipeline(spark, tables):
     assert whole == {i: r["taken"] for i, r in outs[4].items()}
 
 
+def test_pipeline_odd_rows(spark, tables, tmp_path):
+    """Null and shared ids: a row goes for its own text alone. Empty tables give empty results."""
+    _, docs, items = tables
+    clean = [docs[k] for k in (5, 6, 7, 9, 10)]
+    rows = [(None, clean[0]), (None, clean[1] + "\n" + items[2]), (7, clean[2]), (7, clean[3] + "\n" + items[3]), (7, clean[4]), (8, clean[2]), (8, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], brute.SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == sorted([("None", clean[0]), ("7", clean[2]), ("7", clean[4])])
+    df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
 def test_entry_lists_the_queries():
     q, s = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert {f"op{k}" for k in range(1, 11)} <= {n.split("_")[0] for n in q} and "pipeline" in q and set(s) <= set(q)

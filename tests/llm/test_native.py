@@ -1,12 +1,17 @@
 """Quality rules, line dedup, mixing and decontamination against plain versions."""
 
+import hashlib
+import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 from itertools import combinations
 
 import brute
 from pyspark.sql import functions as F
 
+from shoalsight.llm import mixing
+from shoalsight.llm.common import keep_where
 from shoalsight.llm.decontaminate import MASKS, contaminated, drop_contaminated
 from shoalsight.llm.line_dedup import LineRuns, dedup_lines
 from shoalsight.llm.mixing import mix, mix_documents, schedule, source_targets
@@ -99,6 +104,29 @@ def test_line_runs_mark_fresh_keys(spark):
     assert sorted((r["n_docs"], r["max_doc"]) for r in store.totals().collect()) == [(1, 0), (1, 10), (2, 10)]
 
 
+def test_line_runs_hold_each_key_once(spark):
+    """The anti-join decides which keys are new: without it a key would come back in a second run of keys."""
+    store = LineRuns(spark, fanout=3, min_chars=5)
+    texts = ["first line\nsecond line", "second line\nthird line\nsecond line", "first line\nsecond line", "fourth line"]
+    for i, t in enumerate(texts):
+        store.add(brute.frame(spark, [t], first=i))
+    held = store._read(store.levels).collect()
+    assert len(held) == len({(r["h1"], r["h2"]) for r in held}) == 4
+    assert sorted(r["n_docs"] for r in store._read(store.additions).collect()) in ([1, 1, 1], [1, 2])
+    assert sorted((r["n_docs"], r["max_doc"]) for r in store.totals().collect()) == [(1, 1), (1, 3), (2, 2), (3, 2)]
+    assert [(r["n_docs"], r["max_doc"]) for r in store.totals(3).collect()] == [(3, 2)]
+
+
+def test_line_dedup_counts_documents(spark):
+    """Rows that share a doc_id are one document; long lines and texts are compared whole."""
+    line, long = "a line of twenty characters", "x" * 300_000
+    rows = [(1, line, 0), (1, line + "\nother", 1), (2, line, 2), (3, long + "a", 3), (4, long + "b", 4), (5, long + "a\n" * 2000, 5), (6, long + "a", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pos int")
+    got = {r["pos"]: r["text"] for r in dedup_lines(df).collect()}
+    assert [got[k] for k in (0, 1, 2)] == [line, line + "\nother", line]
+    assert got[4] == long + "b" and got[3] == "" and got[6] == long + "a" and got[5].startswith("a\n")
+
+
 def plain_targets(sizes, weights=(1, 2, 3), most=3):
     """sizes: source -> size. Raises the common level until what exceeds a cap is shared again."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -151,6 +179,55 @@ def test_schedule_follows_shares(spark):
     assert all(abs(first.count(s) / 300 - x) < 0.02 for s, x in share.items())
 
 
+def plain_points(n):
+    """Multiples of the golden ratio modulo 1, in fractions."""
+    return [Fraction(k * mixing.GOLDEN % mixing.WHOLE, mixing.WHOLE) for k in range(n)]
+
+
+def test_schedule_is_the_points(spark):
+    """Every slot belongs to the source whose share holds the slot's point, and any prefix is near the shares."""
+    assert abs(mixing.GOLDEN / mixing.WHOLE - (5**0.5 - 1) / 2) < 1e-15
+    rng = random.Random(14)
+    rows = [(f"s{k}", rng.choice([1, 3, 9, 40, 700, 9000])) for k in range(40)]
+    t = source_targets(spark.createDataFrame(rows, "source string, size long"), (1, 2, 3), 3).collect()
+    targets = spark.createDataFrame(t).coalesce(1)
+    block, need = 16, {}
+    for r in sorted(t, key=lambda r: r["sid"]):
+        goal = math.floor(r["target"] + 0.5)
+        blocks = -(-r["source_size"] // block)
+        need[r["sid"]] = goal // r["source_size"] * blocks + -(-(goal % r["source_size"]) // block)
+    total = sum(need.values())
+    edges, low = [], 0
+    for sid, n in need.items():
+        edges.append((Fraction(low, total), Fraction(low + n, total), sid))
+        low += n
+    want, left = [], dict(need)
+    for k, x in enumerate(plain_points(3 * total + 8)):
+        sid = next(s for a, b, s in edges if a <= x < b)
+        if left[sid]:
+            want.append((k, sid, need[sid] - left[sid]))
+            left[sid] -= 1
+    got = sorted((r["slot"], r["sid"], r["rank"]) for r in schedule(targets, block).collect())
+    assert got == want and not any(left.values())
+    counts = Counter()
+    for k, (slot, sid, _) in enumerate(got[: total // 2], 1):
+        counts[sid] += 1
+        assert all(abs(counts[s] - k * n / total) < 3 + math.log2(k) for s, n in need.items())
+
+
+def test_first_slots(spark):
+    """A document's first slot is that of the block where its stream position lies."""
+    rng = random.Random(15)
+    df = spark.createDataFrame([(i, prose(rng, rng.randint(0, 90)), rng.choice("aabc")) for i in range(120)], "doc_id long, text string, source string")
+    got = mix(df, block=32).collect()
+    at = {}
+    for r in got:
+        assert (r["first_slot"] is None) == (r["taken"] == 0)
+        if r["taken"]:
+            at.setdefault(r["source"], []).append((hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["first_slot"]))
+    assert set(at) == {"a", "b", "c"} and all([s for _, s in sorted(x)] == sorted(s for _, s in x) for x in at.values())
+
+
 def test_decontaminate(spark):
     rng = random.Random(11)
     items = [prose(rng, n) for n in (9, 13, 20, 40)] + ["too few words", None]
@@ -214,3 +291,32 @@ def test_decontaminate_random_edits(spark):
     tests = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["matched"] for r in contaminated(brute.frame(spark, docs), tests).collect()}
     assert len(want) > 40 and got == want
+
+
+def test_short_items_are_searched_whole(spark):
+    rng = random.Random(16)
+    items = ["seldom seen phrase", "solitary", "one two three four five six seven", "x y"]
+    docs = [prose(rng, 40), prose(rng, 5) + " Seldom, seen phrase! " + prose(rng, 3), "seldom seen", "the solitary", "one two three four five six eight", "one two three four five six seven", "seldom phrase seen", None, "x z y"]
+    tests = spark.createDataFrame(list(enumerate(items)) + [(9, ""), (10, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["matched"]) for r in contaminated(brute.frame(spark, docs), tests).collect()}
+    assert got == {(1, 0, 3), (3, 1, 1), (5, 2, 7)}
+
+
+def test_clean_rows_without_own_ids_stay(spark):
+    """Each row is judged by its own text, also where ids are null or shared; a very long text is searched whole."""
+    rng = random.Random(17)
+    item = prose(rng, 30)
+    long = prose(rng, 60_000)
+    rows = [(None, prose(rng, 50), 1), (None, "a " + item, 2), (None, None, 3), (4, item, 4), (4, prose(rng, 50), 5), (4, prose(rng, 50), 6), (7, long, 7), (8, long + " " + item, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int")
+    tests = spark.createDataFrame([(0, item)], "item_id long, text string")
+    left = drop_contaminated(df, tests)
+    assert left.columns == df.columns and sorted(r["_id"] for r in left.collect()) == [1, 3, 5, 6, 7]
+
+
+def test_hits_are_verified_above_the_projections(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    rows = keep_where(df.withColumn("n", F.size(F.split("text", " "))), F.col("n") >= 2)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    condition = next(x for x in plan.split("\n") if "Filter" in x)
+    assert "split" not in condition and rows.count() == 1
