@@ -1,6 +1,11 @@
 """The corpus pipeline: quality rules, line dedup, near duplicates, benchmark decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+
+Defined results: null and empty texts fail the quality rules; rows without a doc_id, or with a shared one, are judged by
+their own texts: they go as copies only where they share a doc_id and a component, and as contaminated only where their
+own text is. Rows equal in doc_id and text leave one. Empty tables give empty results; columns beside those of
+``documents`` pass up to the last stage.
 """
 
 from __future__ import annotations
