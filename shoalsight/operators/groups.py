@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import nearest_rank
 from .ranks import numbered
+from .timeline import POSITIONS, running_count, with_neighbours
 
 
 def best_of(df: DataFrame, keys: list[str], order: list[Column], name: str = "is_best") -> DataFrame:
@@ -70,8 +71,8 @@ def small_distribution(values: Column) -> dict[str, Column]:
 
 def contiguity(rows: DataFrame, keys: list[str], pos: str) -> DataFrame:
     """Span, missing positions, gaps and the contiguity score of each group's positions."""
-    gap = F.col(pos) - F.lag(pos).over(Window.partitionBy(*keys).orderBy(pos)) > 1
-    out = rows.withColumn("_g", gap).groupBy(*keys).agg(
+    rows = with_neighbours(rows, keys, pos, pos, F.col(pos), bucket=POSITIONS)
+    out = rows.withColumn("_g", F.col(pos) - F.col("_before_1") > 1).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), (F.max(pos) - F.min(pos) + 1).alias("span"), F.count_if("_g").alias("gaps")
     )
     missing = F.col("span") - F.col("n")
@@ -81,6 +82,6 @@ def contiguity(rows: DataFrame, keys: list[str], pos: str) -> DataFrame:
 
 def islands(rows: DataFrame, keys: list[str], pos: str, ts: str, max_gap: int, max_seconds: float) -> DataFrame:
     """Adds ``island``: a new one after a gap of more than ``max_gap`` positions or ``max_seconds``."""
-    order = Window.partitionBy(*keys).orderBy(pos)
-    new = (F.col(pos) - F.lag(pos).over(order) - 1 > max_gap) | (F.abs(F.col(ts) - F.lag(ts).over(order)) > max_seconds)
-    return rows.withColumn("_n", F.coalesce(new.cast("int"), F.lit(0))).withColumn("island", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_n")
+    rows = with_neighbours(rows, keys, pos, pos, F.struct(F.col(pos).alias("p"), F.col(ts).alias("t")), bucket=POSITIONS)
+    new = (F.col(pos) - F.col("_before_1.p") - 1 > max_gap) | (F.abs(F.col(ts) - F.col("_before_1.t")) > max_seconds)
+    return running_count(rows.withColumn("_new", F.coalesce(new, F.lit(False))), keys, pos, pos, F.col("_new"), "island", bucket=POSITIONS).drop("_new", "_before_1")

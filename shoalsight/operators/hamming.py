@@ -1,8 +1,10 @@
 """Hamming-distance similarity join of 256-bit hashes held as BIGINT words.
 
-The join is exact without comparing all pairs: two hashes at distance d differ in at most d of d + 1 bands, so one band
-is equal, and an equi-join on (band number, band bits) finds every pair within the distance. Equal hashes are collapsed
-before the join and expanded by groups after it, so copies do not multiply.
+The join is exact without comparing all pairs: the bits are cut into bands of at least ``NARROWEST`` bits, and two hashes
+at distance d differ in at most d // n bits of one of n bands. An equi-join on (band number, band bits) finds equal
+bands; where one bit may differ one side probes all its neighbours, where two may differ both sides do, because two bands
+at distance 2 share a neighbour. Wider distances would need bands that select nothing and are refused. Equal hashes are
+collapsed before the join and expanded by groups after it, so copies do not multiply.
 """
 
 from __future__ import annotations
@@ -33,15 +35,49 @@ def bands(words: list[Column], distance: int) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("band"), band_bits(words, cuts[k], cuts[k + 1]).alias("bits")) for k in range(n)])
 
 
-def hamming_pairs(df: DataFrame, key: str, words: list[str], distance: int) -> DataFrame:
-    """(l, r, distance) of distinct hash values within ``distance``; l < r by ``key``, the least key of each value."""
-    values = df.groupBy(*words).agg(F.min(key).alias("k"))
-    banded = values.select("k", *words, F.explode(bands([F.col(w) for w in words], distance)).alias("b"))
-    l = banded.select(F.col("k").alias("l"), *[F.col(w).alias(f"l_{w}") for w in words], "b.band", "b.bits")
-    r = banded.select(F.col("k").alias("r"), *[F.col(w).alias(f"r_{w}") for w in words], "b.band", "b.bits")
-    d = hamming([F.col(f"l_{w}") for w in words], [F.col(f"r_{w}") for w in words])
-    near = l.join(r, ["band", "bits"]).filter(F.col("l") < F.col("r")).withColumn("distance", d).filter(F.col("distance") <= distance)
-    return near.select("l", "r", "distance").distinct()
+#: Bits of a band; with fewer, too many unlike hashes share a band.
+NARROWEST = 24
+
+
+def band_plan(bits: int, distance: int) -> tuple[int, int]:
+    """(bands, bits that may differ in one of them)."""
+    n = bits // NARROWEST
+    if n < 1 or distance // n > 2:
+        raise ValueError(f"no selective bands for distance {distance} over {bits} bits")
+    n = min(n, distance + 1)
+    return n, distance // n
+
+
+def probes(words: list[Column], distance: int) -> tuple[Column, Column]:
+    """For each side of the join an array of (band, bits) to meet on."""
+    total = 64 * len(words)
+    n, radius = band_plan(total, distance)
+    cuts = [total * k // n for k in range(n + 1)]
+    exact = [F.struct(F.lit(k).alias("band"), band_bits(words, cuts[k], cuts[k + 1]).alias("bits")) for k in range(n)]
+
+    def near(k: int) -> Column:
+        flips = F.sequence(F.lit(0), F.lit(cuts[k + 1] - cuts[k] - 1))
+        return F.transform(flips, lambda i: F.struct(F.lit(k).alias("band"), exact[k]["bits"].bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)).alias("bits")))
+
+    plain = F.array(*exact)
+    wide = F.concat(plain, *[near(k) for k in range(n)]) if radius else plain
+    return wide, wide if radius == 2 else plain
+
+
+def hamming_pairs(df: DataFrame, key: str, words: list[str], distance: int, also: list[str] = (), also_distance: int = 0) -> DataFrame:
+    """(l, r, distance) of distinct hash values within ``distance`` by ``words`` and within ``also_distance`` by the words
+    ``also``; l < r by ``key``, the least key of each value."""
+    values = df.groupBy(*words, *also).agg(F.min(key).alias("k"))
+    left, right = probes([F.col(w) for w in words], distance)
+    l = values.select(F.col("k").alias("l"), F.explode(left).alias("b")).select("l", "b.band", "b.bits")
+    r = values.select(F.col("k").alias("r"), F.explode(right).alias("b")).select("r", "b.band", "b.bits")
+    met = l.join(r, ["band", "bits"]).filter(F.col("l") != F.col("r")).select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).distinct()
+    side = lambda n: values.select(F.col("k").alias(n), *[F.col(w).alias(f"{n}_{w}") for w in [*words, *also]])
+    apart = lambda names: hamming([F.col(f"l_{w}") for w in names], [F.col(f"r_{w}") for w in names])
+    near = met.join(side("l"), "l").join(side("r"), "r").withColumn("distance", apart(words)).filter(F.col("distance") <= distance)
+    if also:
+        near = near.filter(apart(also) <= also_distance)
+    return near.select("l", "r", "distance")
 
 
 def copies(df: DataFrame, key: str, words: list[str]) -> DataFrame:

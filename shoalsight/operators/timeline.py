@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_SECONDS = 6 * 3600
+#: Positions of a bucket, where rows are ordered by position instead of time.
+POSITIONS = 4096
 
 
 def seconds(ts: Column) -> Column:
@@ -74,8 +76,10 @@ def sessionize(df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds: f
 def crossed(df: DataFrame, pairs: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     """Boundaries between pairs of positions: for pairs (keys, l_pos, r_pos), whether a hard or soft transition lies in
     [l_pos, r_pos). ``df`` has a row (keys, pos, hard, soft) for the transition after each position. By prefix sums."""
-    order = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.select(*keys, F.col(pos).alias("_p"), *[F.coalesce(F.sum(F.col(k).cast("int")).over(order), F.lit(0)).alias(f"_{k}") for k in ("hard", "soft")])
+    sums = df.select(*keys, F.col(pos).alias("_p"), F.coalesce("hard", F.lit(False)).alias("_fh"), F.coalesce("soft", F.lit(False)).alias("_fs"))
+    for name, flag in (("_hard", "_fh"), ("_soft", "_fs")):
+        sums = running_count(sums, keys, "_p", "_p", F.col(flag), name, bucket=POSITIONS).withColumn(name, F.col(name) - F.col(flag).cast("int"))
+    sums = sums.drop("_fh", "_fs")
     l = sums.withColumnsRenamed({"_p": "l_pos", "_hard": "_lh", "_soft": "_ls"})
     r = sums.withColumnsRenamed({"_p": "r_pos", "_hard": "_rh", "_soft": "_rs"})
     both = pairs.join(l, [*keys, "l_pos"]).join(r, [*keys, "r_pos"])

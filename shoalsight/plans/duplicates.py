@@ -10,18 +10,15 @@ from pyspark.sql import functions as F
 from ..functions.scalars import file_name
 from ..operators.components import connected_components
 from ..operators.groups import best_of
-from ..operators.hamming import copies, hamming, hamming_pairs
+from ..operators.hamming import copies, hamming_pairs
 from ..scene_config import DuplicateConfig
 
 
 def candidate_pairs(photos: DataFrame, key: str, p: list[str], d: list[str], config: DuplicateConfig = DuplicateConfig()) -> DataFrame:
-    """(l, r, distance): photos whose p-words and d-words are both near. Equal p-words are linked to one photo each."""
-    near = hamming_pairs(photos, key, p, config.maximum_phash_distance).union(copies(photos, key, p).filter("l <> r").select("l", "r", F.lit(0).cast("int")))
-    if not d:
-        return near
-    side = lambda n: photos.select(F.col(key).alias(n), *[F.col(w).alias(f"{n}_{w}") for w in d])
-    far = hamming([F.col(f"l_{w}") for w in d], [F.col(f"r_{w}") for w in d])
-    return near.join(side("l"), "l").join(side("r"), "r").filter(far <= config.maximum_dhash_distance).select("l", "r", "distance")
+    """(l, r, distance): photos whose p-words and d-words are both near. Photos equal in all words are linked to one photo
+    each, and only that one is paired with others."""
+    near = hamming_pairs(photos, key, p, config.maximum_phash_distance, d, config.maximum_dhash_distance)
+    return near.union(copies(photos, key, [*p, *d]).filter("l <> r").select("l", "r", F.lit(0).cast("int")))
 
 
 def duplicate_groups(photos: DataFrame, key: str, pairs: DataFrame, verify: Callable[[DataFrame], Column] | None = None) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of our own by application, on local masters.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a folder of our own only where the setting is missing and the master local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -16,8 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = os.environ.get("SHOALSIGHT_LOCAL_SHARED") or tempfile.mkdtemp(prefix="shoalsight-")
-        os.environ["SHOALSIGHT_LOCAL_SHARED"] = found
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="shoalsight-")
+        found = _own[app]
     return found
 
 

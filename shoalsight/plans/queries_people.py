@@ -14,15 +14,16 @@ from ..operators.vector_join import nearest, split_known, threshold_pairs
 from ..scene_config import DuplicateConfig, FaceConfig
 from .duplicates import candidate_pairs, duplicate_groups
 from .people import face_clusters, photos_of_people, recognise
-from .tables import COSINE, FILES_SQL, VEC_SQL, files, table, timeline, vectors
+from .tables import COSINE, FILES_SQL, HASHES_SQL, VEC_SQL, files, table, timeline, vectors
 
 DISTANCE = 18
+WORDS = ["h0", "h1", "h2", "h3"]
 NEAR = DuplicateConfig(maximum_phash_distance=DISTANCE)
 
 
 def j1_dup_hash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """128-bit hashes within 40 bits; copies collapsed to their least id."""
-    return hamming_pairs(files(spark, sf_dir), "doc_id", ["p0", "p1"], 40)
+    """256-bit hashes within 18 bits; equal hashes collapsed to their least id."""
+    return hamming_pairs(files(spark, sf_dir), "doc_id", WORDS, DISTANCE)
 
 
 def j2_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def j1_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
-    return duplicate_groups(f, "doc_id", candidate_pairs(f, "doc_id", ["p0", "p1"], ["p0"], NEAR))
+    return duplicate_groups(f, "doc_id", candidate_pairs(f, "doc_id", WORDS, ["d0", "d1"], NEAR))
 
 
 def a1_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,37 +70,38 @@ def a7_face_cluster_representative(spark: SparkSession, sf_dir: str) -> DataFram
     return face_clusters(vectors(spark, sf_dir), "vec_id", "v", COSINE).filter("cluster_size > 1").select("vec_id", "component", "representative")
 
 
-def _split(spark: SparkSession, sf_dir: str):
+def _known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and the references: of each label the vector with the least id."""
     v = vectors(spark, sf_dir)
-    return v.filter("vec_id % 10 <> 0"), v.filter("vec_id % 10 = 0")
+    return v, v.groupBy("label").agg(F.min("vec_id").alias("ref_id"), F.min_by("v", "vec_id").alias("ref_v"))
 
 
 def j4_face_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, refs = _split(spark, sf_dir)
-    return nearest(rows, "vec_id", "v", refs, "vec_id", "v").select("vec_id", "ref", F.round("score", 6).alias("score"))
+    rows, refs = _known(spark, sf_dir)
+    return nearest(rows, "vec_id", "v", refs, "ref_id", "ref_v").select("vec_id", "ref", F.round("score", 6).alias("score"))
 
 
 def j5_face_recognized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, refs = _split(spark, sf_dir)
-    known, _ = recognise(rows, "vec_id", "v", refs, "vec_id", "v", "label", FaceConfig(recognition_threshold=0.3))
+    rows, refs = _known(spark, sf_dir)
+    known, _ = recognise(rows, "vec_id", "v", refs, "ref_id", "ref_v", "label", FaceConfig(recognition_threshold=0.3))
     return known.select("vec_id", "ref", "person")
 
 
 def j5_face_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, refs = _split(spark, sf_dir)
-    return split_known(rows, nearest(rows, "vec_id", "v", refs, "vec_id", "v"), "vec_id", 0.3)[1].select("vec_id")
+    rows, refs = _known(spark, sf_dir)
+    return split_known(rows, nearest(rows, "vec_id", "v", refs, "ref_id", "ref_v"), "vec_id", 0.3)[1].select("vec_id")
 
 
 def a9_known_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, refs = _split(spark, sf_dir)
-    known, _ = recognise(rows, "vec_id", "v", refs, "vec_id", "v", "label", FaceConfig(recognition_threshold=0.3))
+    rows, refs = _known(spark, sf_dir)
+    known, _ = recognise(rows, "vec_id", "v", refs, "ref_id", "ref_v", "label", FaceConfig(recognition_threshold=0.3))
     named = known.withColumn("path", F.col("vec_id") % 97)
     return photos_of_people(named, "person", "path").select("person", "photos", F.round("best", 6).alias("best"))
 
 
 def j6_person_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("label"), F.col("n_name").alias("name"))
-    return vectors(spark, sf_dir).filter("label < 7").join(people.filter("label <> 3"), "label").select("vec_id", "name")
+    return vectors(spark, sf_dir).join(people, "label").select("vec_id", "name")
 
 
 def a10_people_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,10 +179,10 @@ def g8_photo_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (j1_dup_hash_pairs, j1_bands, j2_hamming, a1_dup_groups, a5_dup_best, r1_dup_recommend_delete, j3_face_strong_edges, a2_face_clusters, a7_face_cluster_representative, j4_face_nearest, j5_face_recognized, j5_face_unknown, a9_known_people, j6_person_lookup, a10_people_frequency, a11_db_signature, v1_normalize, f5_face_geometry, f9_pose_quality, f10_selection_score, f12_warnings, f14_eyes, g8_photo_descriptors)}
 
-_W = "('0x' || md5[1:16])::UBIGINT AS p0, ('0x' || md5[17:32])::UBIGINT AS p1"
-_H = f"WITH RECURSIVE {FILES_SQL}, h AS (SELECT *, {_W} FROM f)"
+_H = f"WITH RECURSIVE {FILES_SQL}, {HASHES_SQL}"
+_APART = lambda names: " + ".join(f"bit_count(xor(a.{w}, b.{w}))::INT" for w in names)
 _DUP = f"""{_H}, e AS (
-  SELECT a.doc_id AS l, b.doc_id AS r FROM h a JOIN h b ON a.doc_id < b.doc_id AND bit_count(xor(a.p0, b.p0)) <= {DISTANCE} AND bit_count(xor(a.p0, b.p0)) + bit_count(xor(a.p1, b.p1)) <= {DISTANCE}
+  SELECT a.doc_id AS l, b.doc_id AS r FROM h a JOIN h b ON a.doc_id < b.doc_id AND {_APART(WORDS)} <= {DISTANCE} AND {_APART(("d0", "d1"))} <= {NEAR.maximum_dhash_distance}
 ), s AS (SELECT l AS a, r AS b FROM e UNION ALL SELECT r, l FROM e), c(id, root) AS (
   SELECT DISTINCT a, a FROM s UNION SELECT s.b, c.root FROM c JOIN s ON s.a = c.id
 ), g AS (SELECT id AS doc_id, min(root) AS component FROM c GROUP BY id), o AS (
@@ -192,7 +194,8 @@ _CLUSTERS = f"""WITH RECURSIVE {VEC_SQL}, {_EDGE}, s AS (SELECT l AS a, r AS b F
 ), g AS (SELECT id AS vec_id, min(root) AS component FROM c GROUP BY id), q AS (
   SELECT x.component, x.vec_id, round(sum(list_inner_product(a.v, b.v)), 9) AS s FROM g x JOIN g y ON x.component = y.component JOIN v a ON a.vec_id = x.vec_id JOIN v b ON b.vec_id = y.vec_id GROUP BY ALL
 ), m AS (SELECT component, arg_min(vec_id, (-s, vec_id)) AS representative, count(*) AS members, sum(vec_id)::BIGINT AS id_sum FROM q GROUP BY component)"""
-_NEAREST = f"""WITH {VEC_SQL}, p AS (SELECT a.vec_id, b.vec_id AS ref, b.label, list_inner_product(a.v, b.v) AS score FROM v a, v b WHERE a.vec_id % 10 <> 0 AND b.vec_id % 10 = 0),
+_NEAREST = f"""WITH {VEC_SQL}, k AS (SELECT label, min(vec_id) AS ref, arg_min(v, vec_id) AS kv FROM v GROUP BY label),
+p AS (SELECT a.vec_id, k.ref, k.label, list_inner_product(a.v, k.kv) AS score FROM v a, k),
 n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, ref) = 1)"""
 _SS = lambda a, b, x: f"pow(greatest(0, least(1, ({x} - {a}) / ({b} - {a}))), 2) * (3 - 2 * greatest(0, least(1, ({x} - {a}) / ({b} - {a}))))"
 _X = lambda i: f"least(1, abs(v[{i + 1}]) * 4)"
@@ -214,8 +217,8 @@ def _selection_sql() -> str:
 
 
 SQL = {
-    "j1_dup_hash_pairs": f"""{_H}, u AS (SELECT p0, p1, min(doc_id) AS k FROM h GROUP BY p0, p1)
-SELECT a.k AS l, b.k AS r, (bit_count(xor(a.p0, b.p0)) + bit_count(xor(a.p1, b.p1)))::INT AS distance FROM u a JOIN u b ON a.k < b.k AND bit_count(xor(a.p0, b.p0)) + bit_count(xor(a.p1, b.p1)) <= 40""",
+    "j1_dup_hash_pairs": f"""{_H}, u AS (SELECT h0, h1, h2, h3, min(doc_id) AS k FROM h GROUP BY ALL)
+SELECT a.k AS l, b.k AS r, ({_APART(WORDS)})::INT AS distance FROM u a JOIN u b ON a.k < b.k AND {_APART(WORDS)} <= {DISTANCE}""",
     "j1_bands": f"""WITH {FILES_SQL}, d AS (SELECT md5, unnest(range(0, 16)) AS band FROM f), n AS (SELECT band, md5[band * 2 + 1:band * 2 + 2] AS bits, count(*) AS n FROM d GROUP BY ALL)
 SELECT band::INT AS band, count(*) AS values, max(n) AS most FROM n GROUP BY band""",
     "j2_hamming": f"{_H} SELECT a.doc_id, (bit_count(xor(a.p0, b.p0)) + bit_count(xor(a.p1, b.p1)))::BIGINT AS distance FROM h a JOIN h b ON b.doc_id = a.doc_id + 1",
@@ -229,7 +232,7 @@ SELECT band::INT AS band, count(*) AS values, max(n) AS most FROM n GROUP BY ban
     "j5_face_recognized": f"{_NEAREST} SELECT vec_id, ref, label AS person FROM n WHERE score >= 0.3",
     "j5_face_unknown": f"{_NEAREST} SELECT vec_id FROM n WHERE score < 0.3",
     "a9_known_people": f"{_NEAREST} SELECT label AS person, count(DISTINCT vec_id % 97) AS photos, round(max(score), 6) AS best FROM n WHERE score >= 0.3 GROUP BY label ORDER BY photos DESC, person",
-    "j6_person_lookup": "SELECT vec_id, n_name AS name FROM embeddings JOIN nation ON label = n_nationkey WHERE label < 7 AND label <> 3",
+    "j6_person_lookup": "SELECT vec_id, n_name AS name FROM embeddings JOIN nation ON label = n_nationkey",
     "a10_people_frequency": """
 WITH c AS (SELECT user_id AS album, event_type AS name, count(*) AS n FROM events GROUP BY ALL)
 SELECT album, string_agg(name || ':' || n, ',' ORDER BY n DESC, lower(name)) AS people FROM c GROUP BY album""",

@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import faces
 from ..operators.incremental import cache_hits, cache_misses
+from ..operators.ranks import numbered
 from ..scene_config import SceneConfig
 
 
@@ -50,8 +51,10 @@ def cancel(spark: SparkSession, tag: str) -> list[str]:
 def memberships(grouped: DataFrame) -> DataFrame:
     """Photos with the number of their group (by time, untimed last, then path) and of their segment; null if ungrouped."""
     heads = grouped.filter("grp is not null").groupBy("album", "session", "grp").agg(F.min_by(F.struct("ts", "path"), F.struct(F.col("ts").isNull(), "ts", "path")).alias("h"))
-    order = Window.partitionBy("album").orderBy(F.col("h.ts").asc_nulls_last(), "h.path")
-    heads = heads.select(F.col("album").alias("_a"), F.col("session").alias("_s"), F.col("grp").alias("_g"), F.row_number().over(order).alias("group_index"))
+    heads = numbered(heads, [F.col("album").asc(), F.col("h.ts").asc_nulls_last(), F.col("h.path").asc(), F.col("session").asc(), F.col("grp").asc()], "_n")
+    first = heads.groupBy(F.col("album").alias("_album")).agg(F.min("_n").alias("_first"))
+    heads = heads.join(first, F.col("album").eqNullSafe(F.col("_album")))
+    heads = heads.select(F.col("album").alias("_a"), F.col("session").alias("_s"), F.col("grp").alias("_g"), (F.col("_n") - F.col("_first") + 1).cast("int").alias("group_index"))
     same = (F.col("album") == F.col("_a")) & F.col("session").eqNullSafe(F.col("_s")) & (F.col("grp") == F.col("_g"))
     return grouped.join(heads, same, "left").drop("_a", "_s", "_g")
 
