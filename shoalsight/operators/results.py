@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +41,12 @@ def suggest(names: DataFrame, name: str, prefix: str, limit: int = 20) -> DataFr
     return names.filter(low.startswith(prefix.lower())).orderBy(low, name).limit(limit)
 
 
+def moved_first(names: DataFrame, name: str, preferred: str | None) -> DataFrame:
+    """All names in order, letters compared without case, the preferred one (that of the nearest match) before the rest."""
+    first = F.lit(False) if preferred is None else F.col(name) == preferred
+    return names.orderBy(first.desc(), F.lower(name), name)
+
+
 def initial_selection(items: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """path, selected: kept choices first, else everything in face groups and what is recommended for deletion. Choices
     for paths that are gone fall away."""
@@ -55,6 +65,28 @@ def export_names(items: DataFrame, path: str = "path") -> DataFrame:
     return ranked.withColumn("target", target).drop("_name")
 
 
+def copy_files(plan: DataFrame, folder: str, link: bool = False) -> DataFrame:
+    """Copies (or links, where the file system can) the files ``path`` of an export plan to ``target`` in a folder that all
+    workers share; one row a file with ``error`` null where it went well. Existing files are not overwritten."""
+
+    def run(batches):
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            why = []
+            for path, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                to = os.path.join(folder, os.path.basename(target))
+                try:
+                    if os.path.lexists(to):
+                        raise FileExistsError(f"{to} exists")
+                    os.link(path, to) if link else shutil.copy2(path, to)
+                    why.append(None)
+                except OSError as e:
+                    why.append(str(e))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(why, pa.string())], ["path", "target", "error"])
+
+    return plan.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "target").mapInArrow(run, "path string, target string, error string")
+
+
 def write_groups(items: DataFrame, folder: str, group: str) -> None:
     """One sub-folder a group with its rows as JSON lines."""
     items.write.mode("error").partitionBy(group).json(folder)

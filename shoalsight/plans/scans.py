@@ -9,9 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import faces
+from ..functions.images import over_pixels
+from ..functions.scalars import extension
 from ..operators.incremental import cache_hits, cache_misses
 from ..operators.ranks import numbered
 from ..scene_config import SceneConfig
+from ..sources.decode import dropped, grey_pixels
+from ..sources.files import supported_extensions
+from .materialize import written
 
 
 def refresh(files: DataFrame, cache: DataFrame, version: int, compute) -> DataFrame:
@@ -34,6 +39,23 @@ def folder_key(paths: DataFrame, config: SceneConfig, *fingerprints: str) -> str
     return hashlib.sha256("|".join([*map(str, state), config.signature(), *fingerprints]).encode()).hexdigest()
 
 
+def fingerprint(path: str, chunk: int = 1 << 20) -> str:
+    """SHA-256 of a file's content, read in chunks; for models and prototype tables."""
+    digest = hashlib.sha256()
+    with open(path, "rb") as f:
+        while part := f.read(chunk):
+            digest.update(part)
+    return digest.hexdigest()
+
+
+def blur_scan(spark: SparkSession, folder: str, most: int = 1000, ignore_errors: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(path, score of blurry photos, worst first; path, error of files that cannot be read) of the files in a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = files.filter(extension(F.col("path")).isin(*supported_extensions()))
+    read = written(grey_pixels(files, most, ignore_errors), "grey-photos")
+    return blurry(over_pixels(dropped(read), "path")).select("path", "score"), read.filter("error is not null").select("path", "error")
+
+
 @contextmanager
 def cancellable(spark: SparkSession, tag: str):
     """Jobs started inside can be stopped from elsewhere with ``cancel``."""

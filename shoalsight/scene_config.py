@@ -6,6 +6,24 @@ import json
 from dataclasses import asdict, dataclass, fields, replace
 
 
+# Counts that may be 0, and settings of which the first may not exceed the second.
+_MAY_BE_ZERO = ("allowed_internal_outliers", "maximum_internal_timeline_gaps", "maximum_internal_gap_size", "tiny_segment_max_size")
+_ORDERED = (
+    ("minimum_pair_similarity", "strong_pair_similarity"),
+    ("minimum_group_size", "maximum_group_size"),
+    ("maximum_soft_time_gap_seconds", "maximum_hard_time_gap_seconds"),
+    ("maximum_adjacent_gap_within_scene_seconds", "maximum_scene_span_seconds"),
+    ("soft_boundary_threshold", "hard_boundary_threshold"),
+    ("semantic_soft_boundary_threshold", "semantic_hard_boundary_threshold"),
+    ("composition_soft_boundary_threshold", "composition_hard_boundary_threshold"),
+    ("minimum_action_margin", "strong_action_margin"),
+    ("minimum_shot_margin", "strong_shot_margin"),
+    ("action_conflict_penalty", "strong_action_conflict_penalty"),
+    ("participant_mode_weak_penalty", "participant_mode_strong_penalty"),
+    ("main_vs_reaction_supported_penalty", "main_vs_reaction_strong_penalty"),
+)
+
+
 @dataclass(frozen=True)
 class SceneConfig:
     # The balanced preset.
@@ -96,15 +114,9 @@ class SceneConfig:
 
     def __post_init__(self) -> None:
         bad = [f.name for f in fields(self) if isinstance(getattr(self, f.name), float) and not 0.0 <= getattr(self, f.name) <= 1.0]
-        bad += [f.name for f in fields(self) if f.name.endswith(("_seconds", "_size", "_count", "_radius", "_distance")) and getattr(self, f.name) < 0]
-        if self.strong_pair_similarity < self.minimum_pair_similarity:
-            bad.append("strong_pair_similarity")
-        if self.hard_boundary_threshold < self.soft_boundary_threshold:
-            bad.append("hard_boundary_threshold")
-        if self.maximum_group_size < self.minimum_group_size or self.minimum_group_size < 1:
-            bad.append("maximum_group_size")
-        if self.maximum_hard_time_gap_seconds < self.maximum_soft_time_gap_seconds:
-            bad.append("maximum_hard_time_gap_seconds")
+        whole = [f.name for f in fields(self) if isinstance(getattr(self, f.name), int) and not isinstance(getattr(self, f.name), bool)]
+        bad += [n for n in whole if getattr(self, n) < (0 if n in _MAY_BE_ZERO else 1)]
+        bad += [great for small, great in _ORDERED if getattr(self, small) > getattr(self, great)]
         if not sum(self.weights().values()) > 0:
             bad.append("weights")
         if bad:

@@ -1,8 +1,8 @@
 """Photo files as DataFrames: recursive scans, extensions, dimensions from headers, capture times.
 
 Listing uses Spark's ``binaryFile`` source, whose content column is pruned unless it is needed. It skips names that begin
-with ``_`` or ``.``. Dimensions are read from the first bytes of PNG, GIF, BMP, WebP and JPEG files without decoding;
-JPEG orientation from its EXIF block swaps them, and EXIF times come from the same block.
+with ``_`` or ``.``. Dimensions are read from the first bytes of PNG, GIF, BMP, WebP, TIFF and JPEG files and of RAW files
+built on TIFF without decoding; the orientation of JPEG and TIFF files swaps them, and EXIF times come from the same block.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import exif_seconds, extension, resolve_extensions
+from ..functions.scalars import exif_seconds, extension, normalize_extensions, resolve_extensions
 
 # Fixed values.
 RASTER = (".jpg", ".jpeg", ".png", ".webp", ".bmp", ".tif", ".tiff")
@@ -28,7 +28,7 @@ def find_files(spark: SparkSession, folder: str, selected: list[str] | None = No
     """path, file_size, mtime, extension of the supported files under ``folder``; with ``orientation`` (landscape or
     portrait) also width and height, and unreadable files are left out."""
     allowed = F.array(*map(F.lit, supported_extensions(raw)))
-    chosen = F.lit(None).cast("array<string>") if selected is None else F.array(*map(F.lit, selected))
+    chosen = F.lit(None).cast("array<string>") if selected is None else normalize_extensions(F.array(*map(F.lit, selected)).cast("array<string>"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     files = files.withColumn("extension", extension(F.col("path"))).filter(F.array_contains(resolve_extensions(allowed, chosen), F.col("extension")))
     named = [F.col("path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("mtime"), F.col("extension")]
@@ -66,6 +66,13 @@ def _jpeg(data: bytes) -> tuple[int | None, int | None, int, str | None]:
 
 def _exif(tiff: bytes) -> tuple[int, str | None]:
     """Orientation (274) and the first of the times 36867, 36868, 306, sub-directories included."""
+    found = _tags(tiff)
+    time = next((found[t] for t in (36867, 36868, 306) if isinstance(found.get(t), str) and found[t].strip()), None)
+    return (found.get(274) if isinstance(found.get(274), int) else 1), time
+
+
+def _tags(tiff: bytes) -> dict[int, object]:
+    """Numbers and texts of a TIFF block, of its first directory and the EXIF directory in it."""
     order = "<" if tiff[:2] == b"II" else ">"
     found: dict[int, object] = {}
 
@@ -78,7 +85,9 @@ def _exif(tiff: bytes) -> tuple[int, str | None]:
                 return
             tag, kind, n = struct.unpack(order + "HHI", entry[:8])
             value = struct.unpack(order + "I", entry[8:])[0]
-            if kind == 3:
+            if kind == 4:
+                found.setdefault(tag, value)
+            elif kind == 3:
                 found[tag] = struct.unpack(order + "H", entry[8:10])[0]
             elif kind == 2:
                 found[tag] = (entry[8 : 8 + n] if n <= 4 else tiff[value : value + n]).split(b"\0")[0].decode("utf-8", "ignore")
@@ -89,8 +98,7 @@ def _exif(tiff: bytes) -> tuple[int, str | None]:
         directory(struct.unpack(order + "I", tiff[4:8])[0], 0)
     except struct.error:
         pass
-    time = next((found[t] for t in (36867, 36868, 306) if isinstance(found.get(t), str) and found[t].strip()), None)
-    return (found.get(274) if isinstance(found.get(274), int) else 1), time
+    return found
 
 
 def header(data: bytes) -> tuple[int | None, int | None, str | None]:
@@ -111,6 +119,11 @@ def header(data: bytes) -> tuple[int | None, int | None, str | None]:
                 return w & 0x3FFF, h & 0x3FFF, None
             bits = int.from_bytes(data[21:25], "little")
             return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF), None
+        if data[:4] in (b"II*\0", b"MM\0*"):  # TIFF, and the RAW formats built on it
+            found = _tags(data)
+            turned, time = _exif(data)
+            w, h = (x if isinstance(x := found.get(t), int) and x else None for t in (256, 257))
+            return (h, w, time) if turned in (5, 6, 7, 8) else (w, h, time)
         if data[:2] == b"\xff\xd8":
             w, h, turned, time = _jpeg(data)
             return (h, w, time) if turned in (5, 6, 7, 8) else (w, h, time)
