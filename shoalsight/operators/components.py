@@ -1,7 +1,7 @@
 """Connected components of an edge list by alternating large-star and small-star steps.
 
 Each step is one aggregation and one join, so no task holds a vertex's neighbours as a list; a hub's rows are split by
-Spark's skew handling. Every step's result is a written table. The number of rounds grows with the logarithm of the
+Spark's skew handling. Every step's result is a written table, deleted when the next one is there. The number of rounds grows with the logarithm of the
 graph; reaching ``max_rounds`` raises instead of returning labels that may be wrong.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialize import written
+from ..plans.materialize import forget, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     now = written(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     for _ in range(max_rounds):
-        now = written(_small_star(_large_star(now)), "stars")
+        before, now = now, written(_small_star(_large_star(now)), "stars")
+        forget(before)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
         if seen == state:
             break

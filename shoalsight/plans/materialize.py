@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +28,38 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/shoalsight/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/shoalsight/{name}-{uuid.uuid4().hex}"
+    for held in _scopes:
+        held.append(path)
+    return path
+
+
+#: Paths handed out inside each open ``scratch``.
+_scopes: list[list[str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the table that ``written`` returned as ``df``; nothing may read it any more."""
+    delete(df.sparkSession, df._written_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are deleted at the end, but for those taken out of the list that it gives."""
+    held: list[str] = []
+    _scopes.append(held)
+    try:
+        yield held
+    finally:
+        _scopes.remove(held)
+        for path in held:
+            delete(spark, path)
 
 
 #: Rows of an Arrow batch while a table is written: long texts in batches of the default 10,000 need much memory.
@@ -45,4 +77,6 @@ def written(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_BATCH, usual)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out

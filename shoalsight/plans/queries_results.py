@@ -53,12 +53,12 @@ def e1_set_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e3_union_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return p.filter("p_size < 10").select(F.lower("p_type").alias("ext")).union(p.filter("p_size > 30").select(F.lower(F.split("p_name", " ")[1]))).distinct()
+    return p.select(F.lower("p_type").alias("ext")).union(p.select(F.lower(F.split("p_name", " ")[1]))).distinct()
 
 
 def e4_groups_and_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = timeline(spark, sf_dir)
-    grouped = t.filter("event_type = 'purchase'").select("photo", F.concat(F.lit("album "), F.col("album").cast("string")).alias("title"))
+    grouped = t.filter("event_type <> 'error'").select("photo", F.concat(F.lit("album "), F.col("album").cast("string")).alias("title"))
     return grouped.unionByName(t.filter("event_type = 'error'").select("photo", F.lit("Ungrouped").alias("title")))
 
 
@@ -166,8 +166,8 @@ SELECT n, grp, CASE WHEN a = 1 AND b = c THEN 'Group ' || grp ELSE printf('Group
     "e1_set_similarity": """
 WITH s AS (SELECT user_id AS album, coalesce(list(DISTINCT event_type) FILTER (value > 150), []) AS t FROM events GROUP BY user_id), n AS (SELECT album - 1 AS album, t AS o FROM s)
 SELECT coalesce(s.album, n.album) AS album, round(CASE WHEN coalesce(len(t), 0) = 0 AND coalesce(len(o), 0) = 0 THEN 0.5 WHEN coalesce(len(t), 0) = 0 OR coalesce(len(o), 0) = 0 THEN 0.35 ELSE len(list_intersect(t, o)) / len(list_distinct(list_concat(t, o))) END, 8) AS similarity FROM s FULL JOIN n ON s.album = n.album""",
-    "e3_union_extensions": "SELECT lower(p_type) AS ext FROM part WHERE p_size < 10 UNION SELECT lower(split_part(p_name, ' ', 2)) FROM part WHERE p_size > 30",
-    "e4_groups_and_rest": "SELECT event_id AS photo, 'album ' || user_id AS title FROM events WHERE event_type = 'purchase' UNION ALL SELECT event_id, 'Ungrouped' FROM events WHERE event_type = 'error'",
+    "e3_union_extensions": "SELECT lower(p_type) AS ext FROM part UNION SELECT lower(split_part(p_name, ' ', 2)) FROM part",
+    "e4_groups_and_rest": "SELECT event_id AS photo, 'album ' || user_id AS title FROM events WHERE event_type <> 'error' UNION ALL SELECT event_id, 'Ungrouped' FROM events WHERE event_type = 'error'",
     "e5_stale_selection": f"WITH {FILES_SQL} SELECT path FROM f WHERE doc_id % 4 = 0",
     "r2_people_summary": """
 WITH s AS (SELECT user_id AS album, coalesce(list_sort(list(DISTINCT event_type) FILTER (event_id % 9 = 0)), []) AS n FROM events GROUP BY user_id)

@@ -1,6 +1,7 @@
 import random
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from shoalsight.functions import faces, images, scalars, vectors
 from shoalsight.operators import groups, hamming, incremental, results, timeline, vector_join
 from shoalsight.operators.components import connected_components
+from shoalsight.plans import materialize
 from shoalsight.plans.duplicates import candidate_pairs, duplicate_groups
 from shoalsight.plans.people import face_clusters, name_clusters, recognise
 from shoalsight.scene_config import DuplicateConfig, FaceConfig
@@ -296,3 +298,59 @@ def test_distribution(spark):
 
 def test_headers():
     assert files.header(b"GIF89a\x05\x00\x07\x00") == (5, 7, None) and files.header(b"") == (None, None, None)
+
+
+def test_written_tables_are_deleted(spark):
+    folder = Path(materialize.shared_folder(spark)) / "shoalsight"
+    folder.mkdir(exist_ok=True)
+    old = set(folder.iterdir())
+    here = lambda: sorted(p.name.split("-")[0] for p in set(folder.iterdir()) - old)
+    with materialize.scratch(spark) as held:
+        kept, gone = materialize.written(spark.range(5), "kept"), materialize.written(spark.range(6), "gone")
+        assert gone.count() == 6 and here() == ["gone", "kept"]
+        held.remove(kept._written_path)
+    assert here() == ["kept"] and kept.count() == 5
+    materialize.forget(kept)
+    assert here() == []
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    assert {r["component"] for r in connected_components(edges).collect()} == {0} and here() == ["stars"]
+
+
+def test_wide_distances_are_refused():
+    assert hamming.band_plan(256, 18) == (10, 1) and hamming.band_plan(256, 9) == (10, 0) and hamming.band_plan(256, 25) == (10, 2) and hamming.band_plan(256, 2) == (3, 0)
+    for bits, distance in ((128, 18), (128, 40), (256, 30)):
+        with pytest.raises(ValueError):
+            hamming.band_plan(bits, distance)
+
+
+@pytest.mark.parametrize("distance", [3, 9, 18, 27])
+def test_hamming_pairs_at_all_radii(spark, distance):
+    rng = random.Random(distance)
+    base = [rng.getrandbits(256) for _ in range(12)]
+    hashes = base + [h ^ sum(1 << b for b in rng.sample(range(256), rng.randint(0, 30))) for h in base for _ in range(8)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, *[signed(h >> (64 * (3 - k)) & (2**64 - 1)) for k in range(4)]) for i, h in enumerate(hashes)]
+    df = spark.createDataFrame(rows, "id long, p0 long, p1 long, p2 long, p3 long")
+    first = {}
+    for i, h in enumerate(hashes):
+        first.setdefault(h, i)
+    want = {(i, j, bin(a ^ b).count("1")) for a, i in first.items() for b, j in first.items() if i < j and bin(a ^ b).count("1") <= distance}
+    assert {tuple(r) for r in hamming.hamming_pairs(df, "id", ["p0", "p1", "p2", "p3"], distance).collect()} == want
+
+
+def test_duplicates_keep_pairs_with_other_difference_words(spark):
+    """Photos of equal perceptual and unlike difference words: the pairs of those that are alike in both are found."""
+    df = spark.createDataFrame([(1, 5, 0), (2, 5, -1), (3, 5, -1), (4, 5, -1), (5, 4, -2)], "id long, p0 long, d0 long")
+    pairs = candidate_pairs(df, "id", ["p0"], ["d0"], DuplicateConfig(4, 4))
+    found = connected_components(pairs, "l", "r").filter("id <> component").collect()
+    assert {(r["id"], r["component"]) for r in found} == {(3, 2), (4, 2), (5, 2)}
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_knn_in_blocks(spark, block):
+    v, df = vector_rows(spark, 90)
+    df = df.withColumn("g", (F.col("id") % 2).cast("int"))
+    got = {(r["l"], r["rank"]): r["r"] for r in vector_join.knn(df, ["g"], "id", "v", 4, block).collect()}
+    for i in range(90):
+        others = sorted((j for j in range(i % 2, 90, 2) if j != i), key=lambda j: (-float(np.cumsum(v[i] * v[j])[-1]), j))[:4]
+        assert [got[i, k + 1] for k in range(4)] == others
