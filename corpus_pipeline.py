@@ -19,6 +19,7 @@ from shoalsight.llm.jaccard_join import Join, keep_one
 from shoalsight.llm.line_dedup import dedup_lines
 from shoalsight.llm.mixing import mix_documents
 from shoalsight.llm.quality_rules import filter_by_rules
+from shoalsight.plans.materialize import forget, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage's table. What the stages write on their way, and each stage's table but the last, is deleted."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as held:
+            docs = written(stage(spark, docs, sf_dir), name)
+            held.remove(docs._written_path)
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
