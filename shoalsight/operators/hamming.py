@@ -44,7 +44,7 @@ def band_plan(bits: int, distance: int) -> tuple[int, int]:
     n = bits // NARROWEST
     if n < 1 or distance // n > 2:
         raise ValueError(f"no selective bands for distance {distance} over {bits} bits")
-    n = min(n, distance + 1)
+    n = min(n, max(distance + 1, -(-bits // 63)))  # a band is held in a long
     return n, distance // n
 
 
