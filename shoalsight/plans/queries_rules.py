@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import scene as rules
 from ..functions.concepts import CONCEPTS
+from ..operators.scenes import transitions
 from ..operators.timeline import with_neighbours
 from ..scene_config import SceneConfig
 from .tables import TIMELINE_SQL, VEC_SQL, timeline, vectors
 
-CONFIG = SceneConfig()
+#: Events are hours apart where photos are seconds apart.
+CONFIG = SceneConfig(
+    session_gap_seconds=43200, maximum_soft_time_gap_seconds=43200, maximum_hard_time_gap_seconds=86400, maximum_adjacent_gap_within_scene_seconds=172800, maximum_scene_span_seconds=345600,
+)
 ORIENTATIONS, SHOT_SCALES = ("landscape", "portrait", "square"), ("close", "medium", "full_body", "wide")
 MODES = ("none", "solo", "couple", "family_group", "small_group", "crowd")
 _FEATURES = "photo ts semantic people layout subject background composition color action_scores face_count face_area meta action shot mode".split()
@@ -26,7 +30,7 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = lambda kind, a, m: F.transform(F.sequence(F.lit(0), F.lit(len(CONCEPTS[kind]) - 1)), lambda i: (k * (i + a)) % m / float(m))
     known = vectors(spark, sf_dir).select("vec_id", F.col("v").alias("semantic"))
     n = known.count()
-    t = timeline(spark, sf_dir).withColumn("vec_id", (F.col("album") + k % 3) % n).join(known, "vec_id")
+    t = timeline(spark, sf_dir).withColumn("vec_id", (F.col("album") + F.floor(k % 5 / 4)) % n).join(known, "vec_id")
     meta = F.struct(
         pick(ORIENTATIONS).alias("orientation"), pick(SHOT_SCALES).alias("shot_scale"), pick(rules.BUCKETS).alias("face_bucket"), pick(MODES).alias("participant_mode"),
         (k % 10 / 10).alias("cx"), (k % 7 / 7).alias("cy"), (k % 5 / 20).alias("hspread"), (k % 3 / 15).alias("vspread"), (k % 4 / 10).alias("scale"),
@@ -73,7 +77,14 @@ def v14_transition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("album", "photo", F.round("change", 7).alias("change"), "reliability", join("reasons"), join("continuity_reasons"), F.round("continuity", 7).alias("continuity"), F.round("visual_support", 7).alias("visual_support"), "override")
 
 
-QUERIES = {f.__name__: f for f in (v9_photo_profiles, v12_pair_rules, v14_transition_rules)}
+def w3_scene_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions, positions, transitions, their support by the photos around, and which boundaries are accepted."""
+    f = _features(spark, sf_dir).drop("action", "shot", "mode").withColumn("path", F.lpad(F.col("photo").cast("string"), 12, "0"))
+    t = transitions(f, CONFIG)
+    return t.select("album", F.col("path").cast("long").alias("photo"), "session", "pos", F.round("change", 7).alias("change"), "reliability", F.round("support", 7).alias("support"), "accepted")
+
+
+QUERIES = {f.__name__: f for f in (v9_photo_profiles, v12_pair_rules, v14_transition_rules, w3_scene_boundaries)}
 
 
 def _list(values) -> str:
@@ -123,7 +134,7 @@ _PROFILES = f"""WITH {TIMELINE_SQL}, {VEC_SQL}, p AS (
     CASE WHEN photo % 9 <> 0 THEN {_pick(ORIENTATIONS)} END AS orientation, CASE WHEN photo % 9 <> 0 THEN {_pick(SHOT_SCALES)} END AS shot_scale, CASE WHEN photo % 9 <> 0 THEN {_pick(rules.BUCKETS)} END AS bucket,
     CASE WHEN photo % 9 <> 0 THEN {_pick(MODES)} END AS said, CASE WHEN photo % 9 <> 0 THEN photo % 10 / 10 ELSE 0.5 END AS cx, CASE WHEN photo % 9 <> 0 THEN photo % 7 / 7 ELSE 0.5 END AS cy,
     CASE WHEN photo % 9 <> 0 THEN photo % 5 / 20 ELSE 0 END AS hs, CASE WHEN photo % 9 <> 0 THEN photo % 3 / 15 ELSE 0 END AS vs, CASE WHEN photo % 9 <> 0 THEN photo % 4 / 10 ELSE 0 END AS sc
-  FROM t JOIN v ON v.vec_id = (t.album + photo % 3) % (SELECT count(*) FROM embeddings)
+  FROM t JOIN v ON v.vec_id = (t.album + photo % 5 // 4) % (SELECT count(*) FROM embeddings)
 ), q AS (SELECT *, {_top("asc_")} AS at_, {_top("ssc")} AS st FROM p
 ), m AS (
   SELECT *, greatest(0, coalesce(-at_[1].n, 0) - coalesce(-at_[2].n, 0)) AS am, greatest(0, coalesce(-st[1].n, 0) - coalesce(-st[2].n, 0)) AS sm,
@@ -149,9 +160,10 @@ _WEIGHT = {k: v for k, v in _C.weights().items() if k != "color"}
 _THERE = {"layout": "l.layout IS NOT NULL AND r.layout IS NOT NULL", "subject": "l.subject IS NOT NULL AND r.subject IS NOT NULL", "background": "l.background IS NOT NULL AND r.background IS NOT NULL", "action": "action_reliable"}
 _USED = lambda k, x: f"CASE WHEN {_THERE.get(k, 'true')} THEN {_WEIGHT[k]}{x} ELSE 0 END"
 
-_PAIR_SQL = f"""{_PROFILES}, x AS (SELECT l, r FROM (SELECT w AS l, lead(w) OVER (PARTITION BY w.album ORDER BY w.ts, w.photo) AS r FROM w) WHERE r IS NOT NULL
+_PAIR_SQL = f"""{_PROFILES}, x AS (
+  SELECT l, r, step FROM (SELECT w AS l, unnest([1, 2]) AS step, unnest([lead(w, 1) OVER h, lead(w, 2) OVER h]) AS r FROM w WINDOW h AS (PARTITION BY w.album ORDER BY w.ts, w.photo)) WHERE r IS NOT NULL
 ), y AS (
-  SELECT l, r, l.album AS album, l.photo AS photo, {_clip("list_inner_product(l.semantic, r.semantic)")} AS semantic, {_sets("l.people", "r.people", 0.5, 0.35)} AS people, {_cosine("layout")} AS layout, {_cosine("subject")} AS subject,
+  SELECT l, r, step, l.album AS album, l.photo AS photo, {_clip("list_inner_product(l.semantic, r.semantic)")} AS semantic, {_sets("l.people", "r.people", 0.5, 0.35)} AS people, {_cosine("layout")} AS layout, {_cosine("subject")} AS subject,
     {_cosine("background")} AS background, abs(l.ts - r.ts) AS delta, exp(-greatest(abs(l.ts - r.ts), 0) / {_C.maximum_soft_time_gap_seconds}) AS time,
     l.asc_ IS NOT NULL AND r.asc_ IS NOT NULL AND l.ac AND r.ac AS action_reliable, l.scf AND r.scf AS shots,
     {_clip(f'''0.14 * {_cosine("composition")} + 0.08 * CASE WHEN coalesce(l.orientation, 'square') = coalesce(r.orientation, 'square') THEN 1.0 WHEN coalesce(l.orientation, 'square') = 'square' OR coalesce(r.orientation, 'square') = 'square' THEN 0.55 ELSE 0.35 END
@@ -215,8 +227,29 @@ _TRANSITION_SQL = f"""{_PAIR_SQL}, a AS (
 
 SQL = {
     "v9_photo_profiles": f"""{_PROFILES} SELECT photo, akey AS action, fam AS family, round(am, 8) AS action_margin, ac AS action_confident, ast AS action_strong, array_to_string(akeys, ',') AS action_keys, smode AS shot, round(sm, 8) AS shot_margin, scf AS shot_confident, mode FROM w""",
-    "v12_pair_rules": f"{_PAIR_SQL} SELECT album, photo, {', '.join(f'round({k}, 7) AS {k}' for k in _SIMILARITIES)}, {', '.join(_FLAGS)}, round(combined, 7) AS combined FROM k",
+    "v12_pair_rules": f"{_PAIR_SQL} SELECT album, photo, {', '.join(f'round({k}, 7) AS {k}' for k in _SIMILARITIES)}, {', '.join(_FLAGS)}, round(combined, 7) AS combined FROM k WHERE step = 1",
     "v14_transition_rules": f"""{_TRANSITION_SQL} SELECT album, photo, round(change, 7) AS change, CASE {' '.join(f"WHEN {w} THEN '{k}'" for w, k, _ in _CASES)} ELSE 'none' END AS reliability,
   array_to_string(CASE {' '.join(f"WHEN {w} THEN {x}" for w, _, x in _CASES)} ELSE [] END, ',') AS reasons, array_to_string(cont, ',') AS continuity_reasons, round(continuity, 7) AS continuity, round(visual_support, 7) AS visual_support,
-  len(hard) = 0 AND override AS override FROM c""",
+  len(hard) = 0 AND override AS override FROM c WHERE step = 1""",
+    "w3_scene_boundaries": f"""{_TRANSITION_SQL}, d AS (
+  SELECT *, CASE {' '.join(f"WHEN {w} THEN '{k}'" for w, k, _ in _CASES)} ELSE 'none' END AS reliability,
+    delta > {_C.maximum_hard_time_gap_seconds} OR (floor(l.ts / 86400) <> floor(r.ts / 86400) AND delta >= {_C.session_gap_seconds}) OR (delta > {_C.session_gap_seconds} AND NOT (semantic >= {_C.strong_pair_similarity} OR action >= 0.72 OR people >= 0.60)) AS opens FROM c
+), e AS (
+  SELECT w.album, w.photo, w.ts, (sum(coalesce(d.opens, false)::INT) OVER (PARTITION BY w.album ORDER BY w.ts, w.photo ROWS UNBOUNDED PRECEDING))::BIGINT AS session FROM w LEFT JOIN d ON d.step = 1 AND d.r.photo = w.photo AND d.r.album = w.album
+), f AS (
+  SELECT e.*, row_number() OVER g - 1 AS pos, lag(photo) OVER g AS before, lead(photo) OVER g AS next FROM e WINDOW g AS (PARTITION BY album, session ORDER BY ts, photo)
+), s2 AS (SELECT l.album AS album, l.photo AS a, r.photo AS b, combined FROM d WHERE step = 2
+), j AS (
+  SELECT f.album, f.photo, f.session, f.pos, f.ts, d.change, d.reliability, d.combined AS score, d.semantic, d.composition,
+    coalesce(d.r.smode = 'detail' AND o.combined >= {_C.strong_pair_similarity}, false) OR coalesce(d.l.smode = 'detail' AND i.combined >= {_C.strong_pair_similarity}, false) AS detail
+  FROM f JOIN d ON d.step = 1 AND d.l.photo = f.photo AND d.album = f.album AND d.r.photo = f.next LEFT JOIN f AS f2 ON f2.photo = f.next AND f2.album = f.album
+  LEFT JOIN s2 AS o ON o.album = f.album AND o.a = f.photo AND o.b = f2.next LEFT JOIN s2 AS i ON i.album = f.album AND i.a = f.before AND i.b = f.next
+), v2 AS (
+  SELECT *, lag(score) OVER g AS lf, avg(score) OVER (PARTITION BY album, session ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS rt FROM j WINDOW g AS (PARTITION BY album, session ORDER BY pos)
+), v3 AS (SELECT *, CASE WHEN lf IS NULL OR rt IS NULL THEN greatest(0, 0.5 - score) ELSE greatest(0, (lf + rt) / 2 - score) END AS support FROM v2
+), v4 AS (
+  SELECT *, reliability = 'hard' OR (reliability = 'supported' AND NOT detail AND (support >= {_C.boundary_support_margin} OR change >= {_C.soft_boundary_threshold + 0.08}
+    OR (1 - semantic >= {_C.semantic_hard_boundary_threshold - 0.02} AND 1 - composition >= {_C.composition_soft_boundary_threshold}) OR 1 - composition >= {_C.composition_hard_boundary_threshold - 0.04})) AS accepted FROM v3
+)
+SELECT f.album, f.photo, f.session, f.pos, round(change, 7) AS change, reliability, round(support, 7) AS support, accepted FROM f LEFT JOIN v4 ON v4.album = f.album AND v4.photo = f.photo""",
 }
