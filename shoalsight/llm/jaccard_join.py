@@ -55,6 +55,7 @@ class Join:
     visitors: int = 2048
     salted: int = 256
     buckets: int = 1 << 18
+    max_bits: int = 1 << 28
 
     def need(self, n):
         """Tokens of a set of n that a linked set must share."""
@@ -371,8 +372,12 @@ def _group_pairs(spec: Join, docs: DataFrame, groups: DataFrame, counts) -> Data
     schema = "t long, s1 long, n long, pos long"
     shared = prefixes.mapInArrow(_opened(None), schema).groupBy("t").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).filter("a <> b").select("t")
     shared = written(shared, "shared-tokens")
-    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(shared, "t", shared.count()))
-    postings = prefixes.mapInArrow(_opened(bloom), schema).join(groups.select("s1", "g", "comp"), "s1")
+    n = shared.count()
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(shared, "t", n, max_bits=spec.max_bits))
+    postings = prefixes.mapInArrow(_opened(bloom), schema)
+    if 16 * n > spec.max_bits:  # the bitmap lets too much through
+        postings = postings.join(shared, "t", "left_semi")
+    postings = postings.join(groups.select("s1", "g", "comp"), "s1")
     matrix = postings.groupBy("t", "g").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("comp").alias("c0"), F.max("comp").alias("c1")
     )

@@ -77,8 +77,8 @@ def test_rows_that_share_ids(spark):
 
 
 def test_common_token_is_salted(spark):
-    """A prefix token of many groups is joined in parts; the links are the same."""
+    """A prefix token of many groups is joined in parts, and more tokens than the bitmap holds by a join; the links are the same."""
     texts = corpus(9)
     df = brute.frame(spark, texts).repartition(6)
-    got = jaccard_components(df, Join(k=3, percent=90, group=2, visitors=20, salted=2, buckets=1 << 10)).collect()
+    got = jaccard_components(df, Join(k=3, percent=90, group=2, visitors=20, salted=2, buckets=1 << 10, max_bits=1 << 10)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(list(enumerate(texts)), 3, 90)
