@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, ascii_lower, keep_where, let, text_or_empty, words
+from .common import ascii_lower, keep_where, let, text_or_empty, words
 
 # Frequent function words of four languages.
 STOP_WORDS = {
@@ -48,16 +48,23 @@ RULES = (
 )
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
+def _count(text: Column, chars: str) -> Column:
+    """Characters of the class ``chars``. One search by pattern: ``translate`` looks up every character of the text."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))
 
 
 def repeated_words(w: Column, window: int = 3) -> Column:
-    """Words inside windows of ``window`` words that occur at least twice in the array; O(n log n) by sorting hashes."""
-    grams = F.transform(
+    """Words inside windows of ``window`` words that occur at least twice in the array; O(n log n) by sorting hashes,
+    which is left out where all hashes differ."""
+    hashes = F.transform(
         F.slice(w, 1, F.greatest(F.size(w) - (window - 1), F.lit(0))),
-        lambda x, i: F.struct(F.xxhash64(x, *[F.get(w, i + k) for k in range(1, window)]).alias("h"), i.alias("i")),
+        lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, window)]),
     )
+    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h, window)))
+
+
+def _covered(hashes: Column, window: int) -> Column:
+    grams = F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
 
     def positions(g: Column) -> Column:
         near = lambda x, j: F.coalesce(F.get(g, j)["h"] == x["h"], F.lit(False))
@@ -77,18 +84,18 @@ def measures(docs: DataFrame, stop_words: dict[str, list[str]] | None = None) ->
     stops = sorted({x for ws in (stop_words or STOP_WORDS).values() for x in ws})
     t = text_or_empty("text")
     first = docs.withColumns({"_t": t, "_w": words(t), "_lines": F.split(t, "\n")})
-    chars = F.length(F.translate("_t", " \t\n\x0b\x0c\r", ""))
+    longest = max(map(len, stops), default=0)
     with_word = F.filter("_lines", lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     second = first.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
-            "word_chars": chars.cast("long"),
-            "n_symbols": (F.length("_t") - _without(F.col("_t"), "#*$%&|<>")).cast("long"),
-            "_capitals": F.length("_t") - _without(F.col("_t"), UPPER),
-            "_pipes": F.length("_t") - _without(F.col("_t"), "|"),
+            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+            "n_symbols": _count(F.col("_t"), "#*$%&|<>").cast("long"),
+            "_capitals": _count(F.col("_t"), "A-Z"),
+            "_pipes": F.length("_t") - F.length(F.replace("_t", F.lit("|"), F.lit(""))),
             "n_repeat_words": repeated_words(F.col("_w")).cast("long"),
             "_said": with_word,
-            "_stops": F.size(F.filter("_w", lambda x: ascii_lower(x).isin(stops))),
+            "_stops": F.size(F.filter("_w", lambda x: (F.length(x) <= longest) & ascii_lower(x).isin(stops))),
         }
     )
     lines = F.greatest(F.size("_said"), F.lit(1))
