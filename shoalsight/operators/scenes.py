@@ -1,6 +1,6 @@
 """Scene grouping: sessions, transitions, segments and groups of a photo timeline.
 
-Everything that looks at neighbouring photos is expressions over windows. What is sequential by nature (recovering
+Everything that looks at neighbouring photos is expressions over windows of chunks of an album. What is sequential by nature (recovering
 small segments, refining components, merging neighbours) runs in ``applyInPandas`` over blocks: stretches between hard
 boundaries of one session. None of these steps ever crosses a hard boundary, so a block is the largest unit that
 belongs together, and memory is bounded by the longest one.
@@ -8,6 +8,9 @@ belongs together, and memory is bounded by the longest one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,59 +18,86 @@ from pyspark.sql import functions as F
 
 from ..functions import scene as rules
 from ..functions.concepts import Concept
-from ..functions.vectors import clip01, dot, set_similarity
 from ..plans.materialize import written
 from ..scene_config import SceneConfig
-from .timeline import running_count, sessionize, support, with_neighbours
+from .timeline import opens_session, running_count, support
 
 _FEATURE = "path ts semantic people layout subject background composition color action_scores face_count face_area meta action shot mode".split()
 OUT = "album string, session long, pos long, path string, ts double, segment long, grp long, medoid string, representative string, cohesion double"
 
 
-def transitions(features: DataFrame, config: SceneConfig, concepts: dict[str, tuple[Concept, ...]] | None = None) -> DataFrame:
+#: Judged columns of ``transitions``.
+JUDGED = "score change reliability reasons continuity_reasons continuity visual_support override pair next_path support accepted".split()
+#: Positions of an album that are looked at together.
+CHUNK = 2048
+
+
+def transitions(
+    features: DataFrame, config: SceneConfig, concepts: dict[str, tuple[Concept, ...]] | None = None, complete: Callable[[DataFrame], DataFrame] | None = None, keep: list[str] | None = None
+) -> DataFrame:
     """Rows of timed photos with session, pos, and the judged transition to the next photo of the session (null after the
-    last): change, reliability, reasons, accepted and the pair components. ``features``: album and the feature columns."""
-    c, keys = config, ["album", "session"]
-    timed = rules.with_profiles(features.filter("ts is not null"), config, concepts).withColumn("f", F.struct(*_FEATURE))
-    me, before = F.col("f"), F.col("_before_1.v")
-    close = (
-        (clip01(dot(before["semantic"], me["semantic"])) >= c.strong_pair_similarity)
-        | (rules.action_similarity(before, me) >= 0.72)
-        | (set_similarity(before["people"], me["people"]) >= 0.60)
-    )
-    timed = sessionize(timed, ["album"], "ts", "path", c.session_gap_seconds, c.maximum_hard_time_gap_seconds, alike=close, value=me)
-    timed = running_count(timed, keys, "ts", "path", F.lit(True), "pos").withColumn("pos", F.col("pos") - 1)
-    timed = written(timed, "timed-photos")  # sessions are needed several times below
-    rows = timed.select(*keys, "pos", "path", "ts", "f")
-    rows = with_neighbours(rows, keys, "ts", "path", me, before=1, after=2)
-    judged = rows.filter("_after_1 is not null")
-    judged = rules.transition(rules.pair_components(judged, c, me, F.col("_after_1")), c, me, F.col("_after_1"))
-    # Scores of the pairs around: (i-1, i+1) and (i, i+2) for detail shots, the neighbours' own for the support.
-    for name, l, r in (("skip_back", F.col("_before_1"), F.col("_after_1")), ("skip_on", me, F.col("_after_2"))):
-        side = rules.pair_components(rows.select(*keys, "pos", l.alias("l"), r.alias("r")).filter("l is not null and r is not null"), c, F.col("l"), F.col("r"))
-        judged = judged.join(side.select(*keys, "pos", F.col("combined").alias(name)), [*keys, "pos"], "left")
-    judged = judged.select(
-        *keys, "pos", "path", "ts", F.col("combined").alias("score"), "change", "reliability", "reasons", "continuity_reasons", "continuity", "visual_support", "override",
-        F.struct("semantic", "action", "people", "layout", "subject", "background", "composition", "time", "combined").alias("pair"), F.col("_after_1.path").alias("next_path"),
-        ((F.col("_after_1.shot.mode") == "detail") & (F.col("skip_on") >= c.strong_pair_similarity)).alias("_right_detail"),
-        ((me["shot"]["mode"] == "detail") & (F.col("skip_back") >= c.strong_pair_similarity)).alias("_left_detail"),
-    )
-    judged = written(judged, "transitions")
-    window = c.boundary_context_window
-    near = with_neighbours(judged, keys, "ts", "path", F.col("score"), before=max(1, window - 1), after=window)
-    lefts = F.filter(F.array(*[F.col(f"_before_{k}") for k in range(1, window)]).cast("array<double>"), lambda x: x.isNotNull())
+    last): change, reliability, reasons, accepted and the pair components. ``features``: album and the feature columns.
+
+    ``complete`` adds the feature columns that ``features`` lacks, and neither drops nor repeats rows. It is called when the
+    rows are dealt out and in order, so what it adds is not shuffled, if it works row by row or by broadcast joins. ``keep``:
+    the columns to return besides album, session, pos, path and ts; by default those given and ``JUDGED``. Beyond these there
+    are block (number of hard transitions before, in the album) and alone (no other photo in its block)."""
+    c, before, after = config, max(1, config.boundary_context_window - 1), config.boundary_context_window + 1
+    keep = [k for k in (keep or [*features.columns, *JUDGED]) if k not in ("album", "path", "ts")]
+    timed = running_count(features.filter("ts is not null"), ["album"], "ts", "path", F.lit(True), "_at").withColumn("_at", F.col("_at") - 1)
+    # Chunks of positions, each with the rows around it that its own rows look at: all that follows stays inside them.
+    chunk = lambda at: F.floor(at / CHUNK).cast("long")
+    reach = F.sequence(chunk(F.greatest(F.col("_at") - after, F.lit(0))), chunk(F.col("_at") + before))
+    rows = timed.withColumn("_chunk", F.explode(reach)).repartition("album", "_chunk").sortWithinPartitions("album", "_chunk", "_at")
+    rows = rules.with_profiles(complete(rows) if complete else rows, c, concepts).withColumn("f", F.struct(*_FEATURE))
+    order = Window.partitionBy("album", "_chunk").orderBy("_at")
+    given = [k for k in features.columns if k in keep]
+    held = [F.struct(*given).alias("_given")] if given else []  # the pair components have some of their names
+    rows = rows.select("album", "path", "ts", "_chunk", "_at", *held, "f", *[F.lead("f", k).over(order).alias(f"_next_{k}") for k in (1, 2)])
+    me, on, skip = F.col("f"), F.col("_next_1"), F.col("_next_2")
+    base = rows.columns
+    # The photo after is a detail, and those around it belong together.
+    rows = rules.pair_components(rows, c, me, skip).withColumn("_detail", F.coalesce(skip.isNotNull() & (on["shot"]["mode"] == "detail") & (F.col("combined") >= c.strong_pair_similarity), F.lit(False)))
+    rows = rules.transition(rules.pair_components(rows.select(*base, "_detail"), c, me, on), c, me, on)
+    alike = (F.col("semantic") >= c.strong_pair_similarity) | (F.col("action") >= 0.72) | (F.col("people") >= 0.60)
+    opens = opens_session(F.col("ts"), on["ts"], c.session_gap_seconds, c.maximum_hard_time_gap_seconds, alike)
+    pair = F.struct("semantic", "action", "people", "layout", "subject", "background", "composition", "time", "combined")
+    told = {"score": F.col("combined"), "pair": pair, "next_path": on["path"]} | {k: F.col(k) for k in JUDGED if k not in ("score", "pair", "next_path", "support", "accepted")}
+    sides = {"_semantic": F.col("semantic"), "_composition": F.col("composition")}
+    rows = rows.select("album", "path", "ts", "_chunk", "_at", *[F.col(f"_given.{k}").alias(k) for k in given], "_detail", (on.isNull() | opens).alias("_ends"), *[v.alias(k) for k, v in (told | sides).items()])
+    ends = lambda k: F.coalesce((F.lead if k > 0 else F.lag)("_ends", abs(k)).over(order), F.lit(True)) if k else F.col("_ends")
+    rows = rows.withColumns({f"_e{k}": ends(k) for k in range(-before, after)} | {f"_s{k}": (F.lead if k > 0 else F.lag)("score", abs(k)).over(order) for k in range(-before, after) if k} | {"_detail_before": F.lag("_detail").over(order)})
+    within = lambda k: reduce(lambda x, y: x & y, [~F.col(f"_e{j}") for j in range(min(k, 0), max(k, 0) + 1)])
+    score_at = lambda k: F.when(within(k), F.col(f"_s{k}"))
+    lefts = F.filter(F.array(*[score_at(-k) for k in range(1, c.boundary_context_window)]).cast("array<double>"), lambda x: x.isNotNull())
     left = F.when(F.size(lefts) > 0, F.aggregate(lefts, F.lit(0.0), lambda t, x: t + x) / F.size(lefts))
-    near = near.withColumn("support", support(left, [F.col(f"_after_{k}") for k in range(1, window + 1)], F.col("score")))
+    rows = rows.withColumn("support", support(left, [score_at(k) for k in range(1, after)], F.col("score")))
     enough = (
         (F.col("support") >= c.boundary_support_margin)
         | (F.col("change") >= c.soft_boundary_threshold + 0.08)
-        | ((1.0 - F.col("pair.semantic") >= c.semantic_hard_boundary_threshold - 0.02) & (1.0 - F.col("pair.composition") >= c.composition_soft_boundary_threshold))
-        | (1.0 - F.col("pair.composition") >= c.composition_hard_boundary_threshold - 0.04)
+        | ((1.0 - F.col("_semantic") >= c.semantic_hard_boundary_threshold - 0.02) & (1.0 - F.col("_composition") >= c.composition_soft_boundary_threshold))
+        | (1.0 - F.col("_composition") >= c.composition_hard_boundary_threshold - 0.04)
     )
-    detail = F.coalesce(F.col("_right_detail"), F.lit(False)) | F.coalesce(F.col("_left_detail"), F.lit(False))
-    near = near.withColumn("accepted", (F.col("reliability") == "hard") | ((F.col("reliability") == "supported") & ~detail & enough))
-    kept = "score change reliability reasons continuity_reasons continuity visual_support override pair next_path support accepted".split()
-    return timed.drop("f").join(near.select(*keys, "pos", *kept), [*keys, "pos"], "left")
+    detail = (F.col("_detail") & within(1)) | (F.coalesce(F.col("_detail_before"), F.lit(False)) & within(-1))
+    rows = rows.withColumn("accepted", (F.col("reliability") == "hard") | ((F.col("reliability") == "supported") & ~detail & enough))
+    rows = rows.withColumns({k: F.when(~F.col("_ends"), F.col(k)) for k in JUDGED})
+    rows = rows.withColumn("_cuts", F.col("_ends") | (F.col("reliability") == "hard"))
+    cut_before = F.coalesce(F.lag("_cuts").over(order), F.lit(True))
+    rows = rows.withColumns({"_opens": F.col("_e-1"), "_cut_before": cut_before}).filter(F.col("_chunk") == chunk(F.col("_at")))
+    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(
+        "album", "path", "ts", *[k for k in keep if k in given or k in JUDGED], "_chunk", "_at", "_opens", "_cut_before", F.count_if("_opens").over(sofar).alias("_session"), F.count_if("_cut_before").over(sofar).alias("_block"),
+        F.max(F.when(F.col("_opens"), F.col("_at"))).over(sofar).alias("_start"), (F.col("_cut_before") & F.col("_cuts")).alias("alone"),
+    )
+    rows = written(rows, "transitions")
+    # Counts and the last start carried over from the chunks before; the first chunk of an album has none before.
+    ahead = Window.partitionBy("album").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("album", "_chunk").agg(F.count_if("_opens").alias("_n"), F.count_if("_cut_before").alias("_m"), F.max(F.when(F.col("_opens"), F.col("_at"))).alias("_last"))
+    totals = totals.select("album", "_chunk", F.sum("_n").over(ahead).alias("_sessions"), F.sum("_m").over(ahead).alias("_blocks"), F.max("_last").over(ahead).alias("_since"))
+    none = {k: F.lit(0).cast("long") for k in ("_sessions", "_blocks", "_since")}
+    rows = rows.filter("_chunk = 0").withColumns(none).unionByName(rows.filter("_chunk > 0").join(totals.filter("_chunk > 0"), ["album", "_chunk"]))
+    session, pos = F.col("_sessions") + F.col("_session") - 1, F.col("_at") - F.coalesce("_start", "_since")
+    return rows.select("album", session.alias("session"), pos.alias("pos"), "path", "ts", *keep, (F.col("_blocks") + F.col("_block") - 1).alias("block"), "alone")
 
 
 _PAIR_TABLES = {
@@ -561,21 +591,24 @@ def _for_blocks(df: DataFrame) -> DataFrame:
     )
 
 
-def scene_groups(features: DataFrame, config: SceneConfig | None = None, concepts: dict[str, tuple[Concept, ...]] | None = None) -> DataFrame:
-    """One row for each photo: album, session (null if untimed), pos, path, ts, segment, grp, medoid, representative, cohesion."""
+def scene_groups(
+    features: DataFrame, config: SceneConfig | None = None, concepts: dict[str, tuple[Concept, ...]] | None = None, complete: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """One row for each photo: album, session (null if untimed), pos, path, ts, segment, grp, medoid, representative, cohesion.
+    ``complete`` as in ``transitions``."""
     config = config or SceneConfig()
-    judged = transitions(features, config, concepts)
-    before = Window.partitionBy("album", "session").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    hard = F.when((F.col("reliability") == "hard") & F.col("accepted"), 1).otherwise(0)
-    blocks = _for_blocks(judged.withColumn("block", F.coalesce(F.sum(hard).over(before), F.lit(0))))
+    judged = transitions(features, config, concepts, complete, [*features.columns, "change", "reliability", "accepted"])
     # A photo alone in its block is a group of its own; only longer blocks need Python.
-    blocks = written(blocks.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("album", "session", "block"))), "scene-blocks")
-    alone = blocks.filter("_n = 1").select(
+    alone = judged.filter("alone").select(
         "album", "session", "pos", "path", "ts", F.col("pos").alias("segment"), F.col("pos").alias("grp"), F.col("path").alias("medoid"), F.col("path").alias("representative"), F.lit(1.0).alias("cohesion")
     )
-    longer = blocks.filter("_n > 1").drop("_n")
-    timed = alone.unionByName(longer.groupBy("album", "session", "block").applyInPandas(lambda rows: group_block(rows, config), OUT))
-    untimed = rules.with_profiles(features.filter("ts is null"), config, concepts)
+
+    def whole(rows: DataFrame, *keys: str) -> DataFrame:
+        if complete:  # dealt out before the rows become wide
+            rows = complete(rows.repartition(*keys).sortWithinPartitions(*keys))
+        return _for_blocks(rules.with_profiles(rows, config, concepts)).groupBy(*keys)
+
+    timed = alone.unionByName(whole(judged.filter("not alone"), "album", "session", "block").applyInPandas(lambda rows: group_block(rows, config), OUT))
     empty = {"session": F.lit(None).cast("long"), "pos": F.lit(0).cast("long"), "change": F.lit(None).cast("double"), "reliability": F.lit(None).cast("string"), "accepted": F.lit(None).cast("boolean"), "block": F.lit(0).cast("long")}
-    loose = _for_blocks(untimed.withColumns(empty)).groupBy("album").applyInPandas(lambda rows: group_block(rows, config, timed=False), OUT)
+    loose = whole(features.filter("ts is null").withColumns(empty), "album").applyInPandas(lambda rows: group_block(rows, config, timed=False), OUT)
     return timed.unionByName(loose)

@@ -60,16 +60,21 @@ def running_count(df: DataFrame, keys: list[str], ts: str, tie: str, flag: Colum
     return df.join(totals, [*keys, "_bucket"]).withColumn(name, F.col("_base") + F.sum("_f").over(inside)).drop("_bucket", "_f", "_base")
 
 
+def opens_session(before: Column, now: Column, gap_seconds: float, hard_gap_seconds: float, alike: Column | None = None) -> Column:
+    """Whether a row at ``now`` opens a session after one at ``before``; see ``sessionize``."""
+    gap = F.abs(now - before)
+    day = F.floor(now / 86400) != F.floor(before / 86400)
+    unlike = F.lit(True) if alike is None else ~F.coalesce(alike, F.lit(False))
+    return (gap > hard_gap_seconds) | (day & (gap >= gap_seconds)) | ((gap > gap_seconds) & unlike)
+
+
 def sessionize(df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds: float = 1800.0, hard_gap_seconds: float = 7200.0, alike: Column | None = None, value: Column | None = None, bucket: float = BUCKET_SECONDS) -> DataFrame:
     """Adds ``session`` (from 0). A row opens a session after a gap over the hard gap, after a change of UTC day with at
     least the session gap, and after a gap over the session gap unless ``alike`` (an expression over ``_before_1.v`` and
     the row) says that the two rows belong together."""
     carried = F.struct(F.col(ts).alias("ts"), (value if value is not None else F.lit(None).cast("string")).alias("v"))
     df = with_neighbours(df, keys, ts, tie, carried, before=1, bucket=bucket)
-    gap = F.abs(F.col(ts) - F.col("_before_1.ts"))
-    day = F.floor(F.col(ts) / 86400) != F.floor(F.col("_before_1.ts") / 86400)
-    unlike = F.lit(True) if alike is None else ~F.coalesce(alike, F.lit(False))
-    opens = F.col("_before_1").isNotNull() & ((gap > hard_gap_seconds) | (day & (gap >= gap_seconds)) | ((gap > gap_seconds) & unlike))
+    opens = F.col("_before_1").isNotNull() & opens_session(F.col("_before_1.ts"), F.col(ts), gap_seconds, hard_gap_seconds, alike)
     return running_count(df, keys, ts, tie, opens, "session", bucket=bucket).drop("_before_1")
 
 

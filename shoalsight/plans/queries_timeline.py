@@ -13,7 +13,7 @@ from ..operators.scenes import scene_groups
 from ..operators.timeline import crossed, running_count, sessionize, support, with_neighbours
 from ..operators.vector_join import knn
 from ..scene_config import SceneConfig
-from .tables import TIMELINE_SQL, VEC_SQL, timeline, vectors
+from .tables import TIMELINE_SQL, VEC_SQL, timeline, vectors, with_vectors
 
 SOFT, HARD = 0.55, 0.80
 
@@ -223,17 +223,17 @@ def v10_pair_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def w17_scene_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scene pipeline over the events, each with the vector of its number; not expressible in SQL."""
-    v = vectors(spark, sf_dir)
-    n = v.count()
-    t = timeline(spark, sf_dir).withColumn("vec_id", F.floor(F.col("photo") / 5) % n).join(v.select("vec_id", F.col("v").alias("semantic")), "vec_id")
+    t, add = with_vectors(spark, sf_dir, timeline(spark, sf_dir).drop("props"), lambda n: F.floor(F.col("photo") / 5) % n)
     null = F.lit(None).cast("array<double>")
     meta = F.struct(F.lit("landscape").alias("orientation"), F.lit("wide").alias("shot_scale"), F.lit("one").alias("face_bucket"), F.lit("solo").alias("participant_mode"), *[F.lit(0.5).alias(k) for k in ("cx", "cy", "hspread", "vspread", "scale")])
-    f = t.select(
-        F.col("album").cast("string").alias("album"), F.lpad(F.col("photo").cast("string"), 10, "0").alias("path"), "ts", "semantic", F.array("event_type").alias("people"), null.alias("layout"), F.col("semantic").alias("subject"),
-        null.alias("background"), null.alias("composition"), null.alias("color"), null.alias("action_scores"), null.alias("shot_scores"), F.lit(1).alias("face_count"), F.lit(0.1).alias("face_area"), F.col("value").alias("quality"), meta.alias("meta"),
-    )
+    photos = t.select(F.col("album").cast("string").alias("album"), F.lpad(F.col("photo").cast("string"), 10, "0").alias("path"), "ts", "vec_id", *[k for k in ("semantic",) if k in t.columns], "event_type", F.col("value").alias("quality"))
+
+    def complete(df: DataFrame) -> DataFrame:
+        f = {"people": F.array("event_type"), "subject": F.col("semantic"), "face_count": F.lit(1), "face_area": F.lit(0.1), "meta": meta}
+        return add(df).withColumns(f | dict.fromkeys(("layout", "background", "composition", "color", "action_scores", "shot_scores"), null))
+
     loose = SceneConfig(maximum_adjacent_gap_within_scene_seconds=43200, maximum_scene_span_seconds=172800, session_gap_seconds=43200, maximum_hard_time_gap_seconds=86400, maximum_soft_time_gap_seconds=43200)
-    return scene_groups(f, loose)
+    return scene_groups(photos, loose, complete=complete)
 
 
 QUERIES = {f.__name__: f for f in (w1_sessions, w1_sessions_alike, a18_session_rollup, w2_day_boundaries, w3_transitions, w4_boundary_support, w7_segments, j11_boundary_crossings, j8_timeline_band_edges, a14_transition_distribution, a14_small_distribution, w11_gaps_islands, a16_contiguity, a17_mode_participant, a15_group_time_range, j7_knn_graph, j9_edge_admission, j10_rejected_edges, a6_group_medoid, a8_group_cohesion, w15_representative, v5_prototype_scores, o4_prototype_topk, v6_action_margin, a13_mean_scores, v10_pair_components, w17_scene_groups)}

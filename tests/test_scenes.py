@@ -1,5 +1,7 @@
 """Scenes with stated outcomes; all run in one job, an album for each."""
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,8 +10,14 @@ from pyspark.sql import functions as F
 from shoalsight.functions import scene as rules
 from shoalsight.functions.concepts import Concept
 from shoalsight.operators import scenes
+from shoalsight.plans import tables
+from shoalsight.plans.materialize import written
+from shoalsight.plans.queries import QUERIES
 from shoalsight.scene_config import PRESETS, SceneConfig, infer_preset, preset
 
+DATA = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not Path(DATA).is_dir(), reason="needs the test tables")
+
 # Concepts of the scenarios (key, tags).
 ACTIONS = [
     ("aisle", "aisle walking ceremony main_action"), ("rings", "rings ceremony interaction main_action"), ("kiss", "kiss ceremony interaction main_action"),
@@ -211,3 +219,84 @@ def test_config():
         with pytest.raises(ValueError):
             SceneConfig(**bad)
     assert SceneConfig().signature() != tight.signature()
+
+
+def one_album(features):
+    """The timed photos of all scenarios, one after the other in one album."""
+    albums = F.array(*map(F.lit, SCENARIOS))
+    later = F.array_position(albums, F.col("album")) * 400.0
+    return features.withColumns({"album": F.lit("x"), "path": F.concat_ws("-", "album", "path"), "ts": F.col("ts") + later})
+
+
+@pytest.mark.parametrize("window", [1, 2, 3])
+def test_chunks_change_nothing(features, monkeypatch, window):
+    """Sessions, positions, transitions, support and blocks do not depend on how an album is cut into chunks."""
+    config = SceneConfig(boundary_context_window=window, session_gap_seconds=300)
+    found = []
+    for size in (2048, 1, 3):
+        monkeypatch.setattr(scenes, "CHUNK", size)
+        found.append(sorted(map(str, scenes.transitions(one_album(features), config, CONCEPTS).drop("quality").collect())))
+    assert len(found[0]) == features.filter("ts is not null").count() and found[1] == found[0] and found[2] == found[0]
+
+
+def test_completed_late(spark, features, grouped):
+    """Features that are added when rows are dealt out give the same groups."""
+    light, rest = features.select("album", "path", "ts"), features.drop("ts")
+    got = scenes.scene_groups(light, SceneConfig(), CONCEPTS, complete=lambda df: df.join(rest, ["album", "path"])).toPandas()
+    plain = lambda df: sorted(map(str, df.astype(object).where(df.notna(), None).values.tolist()))
+    assert plain(got) == plain(grouped)
+
+
+def vectors_dealt(df):
+    """Exchanges of a plan that move vectors."""
+    todo, found = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Exchange":
+            types = [node.output().apply(i).dataType().simpleString() for i in range(node.output().size())]
+            found += [t for t in types if "array<float" in t or "array<double" in t]
+    return found
+
+
+@pytest.fixture
+def plain_plans(spark):
+    """Plans with their exchanges, and no joins broadcast but those that ask for it."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    usual = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in usual.items():
+        spark.conf.set(k, v)
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["w17_scene_groups"])
+def test_vectors_are_not_dealt_out(spark, plain_plans, monkeypatch, name):
+    """Photos are shuffled and written without their vectors, which are many times as large; what goes to Python by blocks is
+    dealt out before it gets them."""
+    plans = []
+    monkeypatch.setattr(scenes, "written", lambda df, *a: plans.append(df) or written(df, *a))
+    plans.append(QUERIES[name](spark, DATA))
+    assert len(plans) > 1 and not [t for df in plans for t in vectors_dealt(df)]
+    assert not [t for df in plans for _, t in df.dtypes if "array<float" in t or "array<double" in t]
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["w17_scene_groups"])
+def test_however_vectors_are_added(spark, tmp_path, monkeypatch, name):
+    """The same rows with vectors broadcast or joined; photos without a vector are left out, and one with two comes twice."""
+    rows = lambda at: sorted(map(str, QUERIES[name](spark, str(at)).collect()))
+    want = rows(DATA)
+    monkeypatch.setattr(tables, "BROADCAST_VALUES", 0)
+    assert rows(DATA) == want
+    known, events = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("embeddings", "events"))
+    n = known.count()
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    known.withColumn("vec_id", F.when(F.col("vec_id") != 7, F.col("vec_id")).otherwise(n)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert 0 < len(rows(tmp_path)) < len(want)
+    known.withColumn("vec_id", F.when(F.col("vec_id") != 7, F.col("vec_id")).otherwise(8)).write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
+    of = {"w17_scene_groups": F.floor(F.col("event_id") / 5) % n, "w3_scene_boundaries": (F.col("user_id") + F.floor(F.col("event_id") % 5 / 4)) % n}[name]
+    times = events.select(of.alias("v")).groupBy("v").count().collect()
+    assert len(rows(tmp_path)) == sum(r["count"] * {7: 0, 8: 2}.get(r["v"], 1) for r in times)
