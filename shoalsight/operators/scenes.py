@@ -1,9 +1,9 @@
 """Scene grouping: sessions, transitions, segments and groups of a photo timeline.
 
-Everything that looks at neighbouring photos is expressions over windows of chunks of an album. What is sequential by nature (recovering
-small segments, refining components, merging neighbours) runs in ``applyInPandas`` over blocks: stretches between hard
-boundaries of one session. None of these steps ever crosses a hard boundary, so a block is the largest unit that
-belongs together, and memory is bounded by the longest one.
+Everything that looks at neighbouring photos is expressions over windows of chunks of an album. What is sequential by
+nature (recovering small segments, refining components, merging neighbours) runs in ``applyInPandas`` over blocks:
+stretches between hard boundaries of one session. None of these steps ever crosses a hard boundary, so a block is the
+largest unit that belongs together, and memory is bounded by the longest one.
 """
 
 from __future__ import annotations

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions.concepts import CONCEPTS
 from ..operators.scenes import transitions
 from ..operators.timeline import with_neighbours
 from ..scene_config import SceneConfig
-from .tables import TIMELINE_SQL, VEC_SQL, timeline, vectors
+from .tables import TIMELINE_SQL, VEC_SQL, timeline, with_vectors
 
 #: Events are hours apart where photos are seconds apart.
 CONFIG = SceneConfig(
@@ -21,27 +23,36 @@ MODES = ("none", "solo", "couple", "family_group", "small_group", "crowd")
 _FEATURES = "photo ts semantic people layout subject background composition color action_scores face_count face_area meta action shot mode".split()
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feature row for each event: the vector of its album and number, everything else made of its number and value."""
+def _photos(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The events with a vector, and what makes their features."""
+    t, add = with_vectors(spark, sf_dir, timeline(spark, sf_dir).drop("props"), lambda n: (F.col("album") + F.floor(F.col("photo") % 5 / 4)) % n)
+    return t, lambda df: _made(add(df))
+
+
+def _made(t: DataFrame) -> DataFrame:
+    """Adds the features of events with their vectors: everything but the vector is made of number and value."""
     k, v = F.col("photo"), F.col("value")
     when, null = (lambda at, x: F.when(at, x)), (lambda kind: F.lit(None).cast(kind))
     circle = lambda s: F.array(F.cos(v / s), F.sin(v / s))
     pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
     scores = lambda kind, a, m: F.transform(F.sequence(F.lit(0), F.lit(len(CONCEPTS[kind]) - 1)), lambda i: (k * (i + a)) % m / float(m))
-    known = vectors(spark, sf_dir).select("vec_id", F.col("v").alias("semantic"))
-    n = known.count()
-    t = timeline(spark, sf_dir).withColumn("vec_id", (F.col("album") + F.floor(k % 5 / 4)) % n).join(known, "vec_id")
     meta = F.struct(
         pick(ORIENTATIONS).alias("orientation"), pick(SHOT_SCALES).alias("shot_scale"), pick(rules.BUCKETS).alias("face_bucket"), pick(MODES).alias("participant_mode"),
         (k % 10 / 10).alias("cx"), (k % 7 / 7).alias("cy"), (k % 5 / 20).alias("hspread"), (k % 3 / 15).alias("vspread"), (k % 4 / 10).alias("scale"),
     )
     people = F.array_distinct(F.array_compact(F.array(when(k % 4 != 0, F.col("event_type")), when(k % 3 == 0, F.lit("view")))))
-    rows = t.select(
-        "album", "photo", "ts", "semantic", people.alias("people"), when(k % 2 == 0, circle(100)).alias("layout"), when(k % 5 != 0, circle(150)).alias("subject"), when(k % 7 != 0, circle(300)).alias("background"),
-        when(k % 3 != 1, circle(200)).alias("composition"), null("array<double>").alias("color"), when(k % 6 != 0, scores("action", 3, 101)).alias("action_scores"), when(k % 4 != 1, scores("shot", 5, 37)).alias("shot_scores"),
-        (k % 7).cast("int").alias("face_count"), when(k % 11 != 0, v / 2500).alias("face_area"), when(k % 9 != 0, meta).alias("meta"),
+    return t.withColumns(
+        {
+            "people": people, "layout": when(k % 2 == 0, circle(100)), "subject": when(k % 5 != 0, circle(150)), "background": when(k % 7 != 0, circle(300)), "composition": when(k % 3 != 1, circle(200)), "color": null("array<double>"),
+            "action_scores": when(k % 6 != 0, scores("action", 3, 101)), "shot_scores": when(k % 4 != 1, scores("shot", 5, 37)), "face_count": (k % 7).cast("int"), "face_area": when(k % 11 != 0, v / 2500), "meta": when(k % 9 != 0, meta),
+        }
     )
-    return rules.with_profiles(rows, CONFIG)
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature row for each event, with profiles."""
+    t, complete = _photos(spark, sf_dir)
+    return rules.with_profiles(complete(t), CONFIG)
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +90,9 @@ def v14_transition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def w3_scene_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions, positions, transitions, their support by the photos around, and which boundaries are accepted."""
-    f = _features(spark, sf_dir).drop("action", "shot", "mode").withColumn("path", F.lpad(F.col("photo").cast("string"), 12, "0"))
-    t = transitions(f, CONFIG)
+    photos, complete = _photos(spark, sf_dir)
+    photos = photos.withColumn("path", F.lpad(F.col("photo").cast("string"), 12, "0"))
+    t = transitions(photos, CONFIG, complete=complete, keep=["change", "reliability", "support", "accepted"])
     return t.select("album", F.col("path").cast("long").alias("photo"), "session", "pos", F.round("change", 7).alias("change"), "reliability", F.round("support", 7).alias("support"), "accepted")
 
 

@@ -272,7 +272,7 @@ def plain_plans(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["w17_scene_groups"])
+@pytest.mark.parametrize("name", ["w17_scene_groups", "w3_scene_boundaries"])
 def test_vectors_are_not_dealt_out(spark, plain_plans, monkeypatch, name):
     """Photos are shuffled and written without their vectors, which are many times as large; what goes to Python by blocks is
     dealt out before it gets them."""
@@ -284,7 +284,7 @@ def test_vectors_are_not_dealt_out(spark, plain_plans, monkeypatch, name):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["w17_scene_groups"])
+@pytest.mark.parametrize("name", ["w17_scene_groups", "w3_scene_boundaries"])
 def test_however_vectors_are_added(spark, tmp_path, monkeypatch, name):
     """The same rows with vectors broadcast or joined; photos without a vector are left out, and one with two comes twice."""
     rows = lambda at: sorted(map(str, QUERIES[name](spark, str(at)).collect()))
